@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.plans.rounds import durable
+from ontomill.plans.ship import arrow_rows
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +45,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u is not null and v is not null and u <> v")
-    e = durable(pairs.mapInArrow(_forest, f"u {kind}, v {kind}"))
+    e = durable(arrow_rows(pairs, _forest, f"u {kind}, v {kind}"))
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
