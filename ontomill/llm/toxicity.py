@@ -36,7 +36,8 @@ EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bag", "idiot proo
 
 _TABLE = str.maketrans(HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys(INVISIBLE, ""))
 _SIGNS = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"[\w@$!]*[013457@$!8][\w@$!]*\w")
+_SIGN = re.compile(r"[0134578@$!]")
+_TOKEN = re.compile(r"[\w@$!]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of word starts that may become entries.
 PREFIXES = (3, 4, 5, 6, 7)
@@ -46,16 +47,20 @@ HELD = 200_000
 
 
 def _letters(m: re.Match) -> str:
+    """A token with its substitutions undone, if a third of it are letters; closing signs are punctuation."""
     token = m[0]
-    letters = sum(map(str.isalpha, token))
-    return token.translate(_SIGNS) if letters >= 2 and letters * 3 >= len(token) else token
+    if not _SIGN.search(token):
+        return token
+    core = token.rstrip("@$!")
+    letters = sum(map(str.isalpha, core))
+    return core.translate(_SIGNS) + token[len(core) :] if letters >= 2 and letters * 3 >= len(core) else token
 
 
 def fold(text: str) -> str:
     s = text.lower()
     if not s.isascii():
         s = s.translate(_TABLE)
-    return _MIXED.sub(_letters, s)
+    return _TOKEN.sub(_letters, s) if _SIGN.search(s) else s
 
 
 def terms_of(word: str) -> list[str]:

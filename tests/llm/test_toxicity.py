@@ -69,3 +69,8 @@ def test_awkward(spark):
     assert set(T.learn(df, no_labels).weights) == {f"{w}$" for w in T.SEEDS}
     null_labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
     T.learn(df, null_labels)
+
+
+def test_long_tokens_take_linear_time():
+    for text in ("x" * 300_000, "!" * 300_000, "a1" * 150_000, "idiot!" * 50_000):
+        T.features(text, T.Lexicon({"idiot$": 3.0}).automaton())
