@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontomill.llm import bpe, exact_dedup, media, mixing, near_dedup, toxicity
+from ontomill.llm import bpe, exact_dedup, media, mixing, native_queries, near_dedup, toxicity
 from ontomill.llm.columns import crc32_hex_mod4
 
 #: The tokenizer of op9 and of the pipeline, in the public package of tokenizer files.
@@ -84,9 +84,13 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash": op3_simhash,
+    "op4_line_dedup": native_queries.op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_pii": native_queries.op6_pii,
+    "op7_url_filter": native_queries.op7_url_filter,
+    "op8_chat": native_queries.op8_chat,
     "op9_bpe": op9_bpe,
     "op10_media": op10_media,
 }
 
-SQL = {"op2_exact_dedup": SQL_OP2}
+SQL = {"op2_exact_dedup": SQL_OP2} | native_queries.SQL
