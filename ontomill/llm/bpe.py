@@ -27,10 +27,10 @@ from ontomill.plans.ship import arrow_rows, ship
 #: White space as the tokenizer's regular expressions see it; Python's own also has U+001C to U+001F.
 SPACE = "\t\n\v\f\r \x85\xa0                　"
 _SPACE = regex.compile(f"[{SPACE}]+")
-_ODD = regex.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 NEVER = 1 << 62
-#: Words that a worker remembers, in two generations of this many.
-REMEMBERED = 120_000
+#: Words, and texts between white space, that a worker remembers, each in two generations of this many.
+REMEMBERED = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -64,6 +64,23 @@ class Bpe:
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.new_words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
+
+    @staticmethod
+    def _set(tree: list[int], at: int, value: int) -> None:
+        """Sets a leaf and the least values above it, as far up as they change."""
+        if tree[at] == value:
+            return
+        tree[at] = value
+        while at > 1:
+            other = tree[at ^ 1]
+            at >>= 1
+            if other < value:
+                value = other
+            if tree[at] == value:
+                return
+            tree[at] = value
 
     def merge(self, symbols: list[int]) -> list[int]:
         """The symbols after all merges, by the segment tree."""
@@ -84,33 +101,20 @@ class Bpe:
         while (top := tree[1]) != NEVER:
             i = top & 0xFFFFFFFF
             j = after[i]
-            symbols[i] = merged[top >> 32]
+            new = symbols[i] = merged[top >> 32]
             symbols[j] = -1
-            k = after[j]
-            after[i] = k
+            k = after[i] = after[j]
+            h = before[i]
+            own = left = None
             if k < n:
                 before[k] = i
-                r = ranks.get(symbols[i] << 20 | symbols[k])
-                own = NEVER if r is None else r << 32 | i
-            else:
-                own = NEVER
-            changed = [(j, NEVER), (i, own)] if j < size else [(i, own)]
-            h = before[i]
+                own = ranks.get(new << 20 | symbols[k])
             if h >= 0:
-                r = ranks.get(symbols[h] << 20 | symbols[i])
-                changed.append((h, NEVER if r is None else r << 32 | h))
-            for leaf, value in changed:
-                at = size + leaf
-                if tree[at] != value:
-                    tree[at] = value
-                    at >>= 1
-                    while at:
-                        a, b = tree[2 * at], tree[2 * at + 1]
-                        least = a if a < b else b
-                        if tree[at] == least:
-                            break
-                        tree[at] = least
-                        at >>= 1
+                left = ranks.get(symbols[h] << 20 | new)
+                self._set(tree, size + h, NEVER if left is None else left << 32 | h)
+            if j < n - 1:
+                self._set(tree, size + j, NEVER)
+            self._set(tree, size + i, NEVER if own is None else own << 32 | i)
         return [s for s in symbols if s >= 0]
 
     def word(self, word: str) -> list[int]:
@@ -121,35 +125,44 @@ class Bpe:
 
     def _chunk(self, chunk: str) -> tuple[str, int, str]:
         """Of a text without white space: its ids as text, their number and the decoded text."""
-        ids = [i for w in self.words.findall(chunk) for i in self.word(w)]
+        ids = [i for w in self.words.findall(chunk) for i in self.new_words.get(w) or self._remember_word(w)]
         return " ".join(map(str, ids)), len(ids), self.decode(ids)
 
-    def _parts(self, text: str) -> Iterator[tuple[str, int, str]]:
-        """The same for each chunk of a text without special tokens."""
+    def _remember_word(self, word: str) -> tuple[int, ...]:
+        got = self.old_words.get(word) or tuple(self.word(word))
+        if len(word) <= 64:
+            if len(self.new_words) >= REMEMBERED:
+                self.old_words, self.new_words = self.new_words, {}
+            self.new_words[word] = got
+        return got
+
+    def _parts(self, text: str) -> list[tuple[str, int, str]]:
+        """The same for each chunk of a text without special tokens; every chunk has a token at least."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # letter by letter: a final sigma is no special case
         text = text.replace("Σ", "σ").lower()
-        for chunk in _SPACE.split(text) if _ODD.search(text) else text.split():
-            got = self.new.get(chunk)
-            if got is None:
-                got = self.old.get(chunk)
-                if got is None:
-                    got = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(self.new) >= REMEMBERED:
-                        self.old, self.new = self.new, {}
-                    self.new[chunk] = got
-            if got[1]:
-                yield got
-
-    def parts(self, text: str) -> Iterator[tuple[str, int, str]]:
-        at = 0
-        for m in self.at_special.finditer(text) if self.at_special else ():
-            yield from self._parts(text[at : m.start()])
-            yield str(self.special[m[0]]), 1, m[0]
+        chunks = list(filter(None, _SPACE.split(text))) if any(c in text for c in _ODD) else text.split()
+        known = self.new.get
+        return [known(c) or self._remember(c) for c in chunks]
+
+    def _remember(self, chunk: str) -> tuple[str, int, str]:
+        got = self.old.get(chunk) or self._chunk(chunk)
+        if len(chunk) <= 64:
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+            self.new[chunk] = got
+        return got
+
+    def parts(self, text: str) -> list[tuple[str, int, str]]:
+        if not any(t in text for t in self.special):
+            return self._parts(text)
+        out, at = [], 0
+        for m in self.at_special.finditer(text):
+            out += self._parts(text[at : m.start()])
+            out.append((str(self.special[m[0]]), 1, m[0]))
             at = m.end()
-        yield from self._parts(text[at:] if at else text)
+        return out + self._parts(text[at:])
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.parts(text) for i in ids.split(" ")]
@@ -192,7 +205,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = list(bpe.parts(text))
+                parts = bpe.parts(text)
                 n.append(sum([p[1] for p in parts]))
                 ids.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode("utf-8", "surrogatepass")).hexdigest())
@@ -210,4 +223,4 @@ def encode_column(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         return texts.map(bpe.encode)
 
     ship(docs.sparkSession)
-    return docs.withColumn(out, F.pandas_udf(ids, "array<int>")(text_of(text_col)))
+    return docs.withColumn(out, F.pandas_udf(ids, "array<int>", F.PandasUDFType.SCALAR)(text_of(text_col)))
