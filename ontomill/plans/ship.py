@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
@@ -27,7 +31,20 @@ def ship(spark: SparkSession) -> None:
     _SENT.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Returns free memory to the system; a worker process is used again by later stages, beside an executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_rows(df: DataFrame, rows: Callable, schema) -> DataFrame:  # noqa: ANN001
-    """``df.mapInArrow(rows, schema)`` with the package at hand on the workers."""
+    """``df.mapInArrow(rows, schema)`` with the package at hand on the workers, which give memory back after each task."""
     ship(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
