@@ -30,7 +30,7 @@ _SPACE = regex.compile(f"[{SPACE}]+")
 _ODD = "\x1c\x1d\x1e\x1f"
 NEVER = 1 << 62
 #: Words, and texts between white space, that a worker remembers, each in two generations of this many.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -62,6 +62,10 @@ class Bpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the words remembered; done at the end of a task, as a worker process outlives it."""
         self.new: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
         self.new_words: dict[str, tuple[int, ...]] = {}
@@ -176,7 +180,7 @@ _READY: dict[int, Bpe] = {}
 
 
 def _tokenizer(shared) -> Bpe:
-    """One tokenizer for each worker process and broadcast file, with what it remembers."""
+    """One tokenizer for each worker process and broadcast file."""
     if shared.id not in _READY:
         _READY.clear()
         _READY[shared.id] = Bpe(shared.value)
@@ -210,6 +214,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
                 ids.append(hashlib.sha256(" ".join([p[0] for p in parts]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return arrow_rows(docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")), rows, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
