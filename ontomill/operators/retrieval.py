@@ -34,7 +34,8 @@ class Reasoner:
 
     def instances(self, c: Node) -> DataFrame:
         """``ind``: the distinct names of a class expression's individuals."""
-        return self.named(self.sets(algebra.simplify(c) if not self.compat else c))
+        # without the closed world, a complement and its dual quantifier are not the same
+        return self.named(self.sets(algebra.simplify(c) if self.closed and not self.compat else c))
 
     def named(self, sets: Sets) -> DataFrame:
         spark = next(iter(self.graph.universe().values())).keys().sparkSession

@@ -16,6 +16,7 @@ from ontomill.functions.literals import Value
 from ontomill.plans import expr as E
 from ontomill.plans.expr import Prop
 from ontomill.plans.graph import transitive_closure
+from ontomill.plans.rounds import durable
 
 
 @dataclass(frozen=True)
@@ -191,6 +192,33 @@ TABLES = {
 }
 
 
+#: Schema edges, and pairs of their closure, up to which a closure is made on the driver; beyond, by rounds of joins.
+SMALL, SMALL_CLOSURE = 20_000, 500_000
+
+
+def small_closure(edges: DataFrame) -> set[tuple[str, str]] | None:
+    """All pairs of names joined by a path, if the schema is small; else None."""
+    rows = edges.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return None
+    up: dict[str, set[str]] = {}
+    for a, b in rows:
+        up.setdefault(a, set()).add(b)
+    out: set[tuple[str, str]] = set()
+    for start in up:
+        seen: set[str] = set()
+        queue = list(up[start])
+        while queue:
+            x = queue.pop()
+            if x not in seen:
+                seen.add(x)
+                queue.extend(up.get(x, ()))
+        out.update((start, x) for x in seen)
+        if len(out) > SMALL_CLOSURE:
+            return None
+    return out
+
+
 class TripleGraph(Graph):
     """Assertions and axioms in tables of fixed schemas (``TABLES``); a missing table is empty."""
 
@@ -202,6 +230,7 @@ class TripleGraph(Graph):
         given = tables or {}
         self.tables = {name: given[name] if name in given else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         self._closures: dict[tuple[str, int], DataFrame] = {}
+        self._pairs_of: dict[tuple[str, int], set[tuple[str, str]] | None] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -211,21 +240,30 @@ class TripleGraph(Graph):
         return TripleGraph(self.spark, self.tables | tables)
 
     def universe_frame(self) -> DataFrame:
-        """All named individuals: declared ones and those in assertions."""
+        """All named individuals: declared ones and those in assertions; computed once, as every complement starts from it."""
+        key = ("universe", self.version)
+        if key in self._closures:
+            return self._closures[key]
         t = self.tables
         found = t["individuals"].select("ind").unionAll(t["class_assertion"].select("ind")).unionAll(t["obj_assertion"].select("s")).unionAll(t["obj_assertion"].select("o")).unionAll(t["data_assertion"].select("s"))
-        return found.where("ind is not null").distinct()
+        self._closures[key] = durable(found.where("ind is not null").distinct())
+        return self._closures[key]
 
     def universe(self) -> dict[str, Ext]:
         return {self.KIND: Ext(df=self.universe_frame().withColumnRenamed("ind", "k"))}
 
+    def schema_edges(self, name: str) -> DataFrame:
+        """``sub, sup`` of asserted and equivalent edges; name is sub_class or sub_prop."""
+        same = self.tables["equivalent_class" if name == "sub_class" else "equivalent_prop"]
+        return self.tables[name].unionAll(same.select("a", "b")).unionAll(same.select("b", "a")).where("sub is not null and sup is not null")
+
     def closure(self, name: str) -> DataFrame:
-        """``sub, sup`` of every path of asserted, equivalent and inherited edges; name is sub_class or sub_prop."""
+        """``sub, sup`` of every path of asserted, equivalent and inherited edges."""
         key = (name, self.version)
         if key not in self._closures:
-            same = self.tables["equivalent_class" if name == "sub_class" else "equivalent_prop"]
-            edges = self.tables[name].unionAll(same.select("a", "b")).unionAll(same.select("b", "a"))
-            self._closures[key] = transitive_closure(edges, "sub", "sup")
+            pairs = small_closure(self.schema_edges(name))
+            self._pairs_of[key] = pairs
+            self._closures[key] = self.spark.createDataFrame(sorted(pairs), "sub string, sup string") if pairs is not None else transitive_closure(self.schema_edges(name), "sub", "sup")
         return self._closures[key]
 
     def below(self, name: str, iri: str) -> DataFrame:
@@ -233,27 +271,54 @@ class TripleGraph(Graph):
         own = self.spark.range(1).select(F.lit(iri).alias("sub"))
         return self.closure(name).where(F.col("sup") == iri).select("sub").unionAll(own).distinct()
 
+    def names_below(self, name: str, iri: str, subs: bool = True) -> list[str] | None:
+        """The same as a list if the schema is small, else None."""
+        if not subs:
+            return [iri]
+        self.closure(name)
+        pairs = self._pairs_of[(name, self.version)]
+        return None if pairs is None else sorted({iri, *(a for a, b in pairs if b == iri)})
+
+    def _named(self, table: DataFrame, column: str, name: str, iri: str, subs: bool) -> DataFrame:
+        """Rows whose column is the name or below it: a filter on constants, which prunes what is stored apart by name, or a semi join."""
+        names = self.names_below(name, iri, subs)
+        return table.where(F.col(column).isin(*names)) if names is not None else table.join(self.below(name, iri), F.col(column) == F.col("sub"), "left_semi")
+
     def class_extension(self, iri: str, subs: bool = True) -> dict[str, Ext]:
-        t = self.tables["class_assertion"]
-        rows = t.join(self.below("sub_class", iri), t["cls"] == F.col("sub"), "left_semi") if subs else t.where(F.col("cls") == iri)
+        rows = self._named(self.tables["class_assertion"], "cls", "sub_class", iri, subs)
         return {self.KIND: Ext(df=rows.select(F.col("ind").alias("k")).where("k is not null").distinct())}
 
+    def _inverses(self) -> list[tuple[str, str]] | None:
+        """Declared inverses both ways, as a list if there are few."""
+        key = ("inverse", self.version)
+        if key not in self._pairs_of:
+            rows = self.tables["inverse_prop"].limit(SMALL + 1).collect()
+            self._pairs_of[key] = None if len(rows) > SMALL else {(a, b) for r in rows for a, b in ((r.p, r.q), (r.q, r.p))}
+        return self._pairs_of[key]
+
     def _pairs(self, iri: str, subs: bool) -> DataFrame:
         """``s, o`` of a property, of those below it, and of declared inverses read backwards."""
-        t, inv = self.tables["obj_assertion"], self.tables["inverse_prop"]
-        names = self.below("sub_prop", iri) if subs else self.spark.range(1).select(F.lit(iri).alias("sub"))
-        both = inv.select("p", "q").unionAll(inv.select("q", "p")).distinct()
-        back = both.join(names, F.col("p") == F.col("sub"), "left_semi").select(F.col("q").alias("sub")).distinct()
-        straight = t.join(names, t["p"] == F.col("sub"), "left_semi").select("s", "o")
-        return straight.unionAll(t.join(back, t["p"] == F.col("sub"), "left_semi").select(F.col("o").alias("s"), F.col("s").alias("o"))).where("s is not null and o is not null")
+        t = self.tables["obj_assertion"]
+        names, inverses = self.names_below("sub_prop", iri, subs), self._inverses()
+        straight = self._named(t, "p", "sub_prop", iri, subs).select("s", "o")
+        if names is not None and inverses is not None:
+            back = sorted({q for p, q in inverses if p in names})
+            if not back:
+                return straight.where("s is not null and o is not null")
+            backward = t.where(F.col("p").isin(*back))
+        else:
+            inv = self.tables["inverse_prop"]
+            both = inv.select("p", "q").unionAll(inv.select("q", "p")).distinct()
+            back = both.join(self.below("sub_prop", iri), F.col("p") == F.col("sub"), "left_semi").select(F.col("q").alias("sub")).distinct()
+            backward = t.join(back, t["p"] == F.col("sub"), "left_semi")
+        return straight.unionAll(backward.select(F.col("o").alias("s"), F.col("s").alias("o"))).where("s is not null and o is not null")
 
     def edges(self, prop: Prop, subs: bool = True) -> list[Edges]:
         e = Edges(self.KIND, self.KIND, self._pairs(prop.iri, subs), F.col("s"), F.col("o"))
         return [e.flipped() if prop.inverse else e]
 
     def data(self, iri: str, subs: bool = True) -> list[Data]:
-        t = self.tables["data_assertion"]
-        rows = t.join(self.below("sub_prop", iri), t["p"] == F.col("sub"), "left_semi") if subs else t.where(F.col("p") == iri)
+        rows = self._named(self.tables["data_assertion"], "p", "sub_prop", iri, subs)
         return [Data(self.KIND, Value(F.col("lex"), F.col("dt")), df=rows.select("s", "lex", "dt").where("s is not null"))]
 
     def key_of(self, ind: str) -> tuple[str, object]:
