@@ -7,6 +7,7 @@ kind, whose keys are IRIs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,14 +20,26 @@ from ontomill.plans.graph import transitive_closure
 from ontomill.plans.rounds import durable
 
 
+#: A table, or what reads it when a query first touches it.
+Table = DataFrame | Callable[[], DataFrame]
+
+
+def _read(table: Table) -> DataFrame:
+    return table if isinstance(table, DataFrame) else table()
+
+
 @dataclass(frozen=True)
 class Source:
     """A table whose rows are individuals: its key is unique."""
 
     name: str
-    df: DataFrame
+    table: Table
     key: Column
 
+    @property
+    def df(self) -> DataFrame:
+        return _read(self.table)
+
 
 @dataclass(frozen=True)
 class Ext:
@@ -53,7 +66,7 @@ class Edges:
 
     s_kind: str
     o_kind: str
-    table: DataFrame
+    pairs: Table
     s: Column
     o: Column
     rows: str | None = None
@@ -61,8 +74,12 @@ class Edges:
     o_row: bool = False
     unique: bool = False
 
+    @property
+    def table(self) -> DataFrame:
+        return _read(self.pairs)
+
     def flipped(self) -> Edges:
-        return Edges(self.o_kind, self.s_kind, self.table, self.o, self.s, self.rows, self.o_row, self.s_row, self.unique)
+        return Edges(self.o_kind, self.s_kind, self.pairs, self.o, self.s, self.rows, self.o_row, self.s_row, self.unique)
 
 
 @dataclass(frozen=True)
@@ -111,7 +128,7 @@ class MappedGraph(Graph):
     sub_properties: dict[str, tuple[str, ...]] = field(default_factory=dict)
     values: dict[str, list[Data]] = field(default_factory=dict)
 
-    def add_kind(self, kind: str, iri: str, table: str, df: DataFrame, key: Column, key_type: str = "bigint") -> None:
+    def add_kind(self, kind: str, iri: str, table: str, df: Table, key: Column, key_type: str = "bigint") -> None:
         """A class of all rows of a table; ``key`` is unique."""
         self.sources[kind], self.key_types[kind] = Source(table, df, key), key_type
         self.classes[iri] = (kind, None)
@@ -122,7 +139,7 @@ class MappedGraph(Graph):
         self.classes[iri] = (kind, pred if own is None else own & pred)
         self.supers[iri] = parent
 
-    def add_object(self, iri: str, table: str, df: DataFrame, s: tuple[str, Column], o: tuple[str, Column], row: str = "", inverse: str | None = None) -> None:
+    def add_object(self, iri: str, table: str, df: Table, s: tuple[str, Column], o: tuple[str, Column], row: str = "", inverse: str | None = None) -> None:
         """A property between kinds; ``row`` is ``s`` or ``o`` if each row of the table is that end's own."""
         self.objects[iri] = Edges(s[0], o[0], df, s[1], o[1], table, row == "s", row == "o", bool(row))
         if inverse:

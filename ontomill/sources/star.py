@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.plans.expr import XSD
@@ -42,9 +44,9 @@ DATA = (
 )
 
 
-def line_key(df: DataFrame):  # noqa: ANN201
+def line_key() -> Column:
     """A unique key of a line item; (order, line number) is not unique in these tables."""
-    return F.concat_ws("-", df["l_orderkey"], df["l_partkey"], df["l_suppkey"], df["l_extendedprice"])
+    return F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
@@ -59,15 +61,17 @@ def star_graph(spark: SparkSession, sf_dir: str) -> MappedGraph:
     g = MappedGraph()
     kind_of = {t: KIND_NAMES.get(t, t) for _, t, _ in KINDS} | {"lineitem": "lineitem"}
     for cls, t, key in KINDS:
-        g.add_kind(kind_of[t], cls, t, table(t), F.col(key))
-    g.add_kind("lineitem", "LineItem", "lineitem", table("lineitem"), line_key(table("lineitem")), "string")
+        g.add_kind(kind_of[t], cls, t, partial(table, t), F.col(key))
+    g.add_kind("lineitem", "LineItem", "lineitem", partial(table, "lineitem"), line_key(), "string")
     for parent, column, value, cls in SUBCLASSES:
         g.add_class(cls, parent, F.col(column) == value)
     for name, t, s_kind, s, o_kind, o, row, inverse in OBJECTS:
-        subject = F.col(s) if s else line_key(table(t))
-        g.add_object(name, t, table(t), (s_kind, subject), (o_kind, F.col(o)), row, inverse)
+        subject = F.col(s) if s else line_key()
+        g.add_object(name, t, partial(table, t), (s_kind, subject), (o_kind, F.col(o)), row, inverse)
     # customer and supplier share a nation: a property without rows of its own, with a loop for each nation that has both
-    shared = table("customer").select("c_nationkey").distinct().join(table("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"))
+    def shared() -> DataFrame:
+        return table("customer").select("c_nationkey").distinct().join(table("supplier").select("s_nationkey").distinct(), F.col("c_nationkey") == F.col("s_nationkey"))
+
     g.add_object("tradesWith", "trades", shared, ("nation", F.col("c_nationkey")), ("nation", F.col("s_nationkey")))
     for name, t, column, datatype in DATA:
         g.add_data(name, kind_of[t], F.col(column).cast("decimal(38,0)") if datatype == "integer" else F.col(column), XSD + datatype)
