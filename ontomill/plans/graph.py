@@ -50,10 +50,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written before the join, so that the join's sides are plain exchanges whose skewed keys are split
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u and its smaller neighbours are linked to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = durable(large)
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u")
         e = durable(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
