@@ -27,8 +27,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the least doc_id; shingles of five words."""
-    return near_dedup.drop_near_duplicates(docs, size=5)
+    """One document of each component of near copies, the least doc_id.
+
+    Fingerprints are of distinct words, linked at six bits. That takes in most pairs of documents whose five-word shingles
+    have a similarity of 0.8 or more; fingerprints of five-word shingles themselves differ in about nine bits there, out of
+    reach of any such threshold (see the README for the measured table).
+    """
+    return near_dedup.drop_near_duplicates(docs, threshold=6, size=0)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint is cut into blocks of 23, 23 and 18 bits. Of at most three differing bits, some pair of blocks holds at
-most two. On each pair the anchors are the words of the product of two binary Golay codes [23, 12] (the 18-bit block is
-padded with zeros): a perfect covering code of radius 3 a block. A fingerprint is replicated to every anchor that is nearest
-to itself or to one of its neighbours at distance one, which are all anchors within radius plus half of the pair's threshold
-of two. Two fingerprints whose pair differs in at most two bits have a word between them, and meet at that word's anchor.
-Fingerprints are compared there. About 10 anchors a pair hold a fingerprint, of 2**24.
+A 64-bit fingerprint is cut into blocks of 23, 23 and 18 bits. Of at most t differing bits, some pair of blocks holds at most
+two thirds of t. On each pair the anchors are the words of the product of two binary Golay codes [23, 12] (the 18-bit block is
+padded with zeros): a perfect covering code of radius 3 a block. A fingerprint is replicated to every anchor within covering
+radius plus half of the pair's threshold. Two fingerprints that differ in no more than that threshold have a word half-way
+between them, and meet at that word's anchor, where they are compared. Of 2**24 anchors a pair, about 10 hold a fingerprint
+for thresholds up to 4, about 60 for 5 and 6.
 
 Only distinct fingerprints are replicated, and an anchor gives a spanning forest of its links, not all pairs. An anchor with
 more than ``per_anchor`` fingerprints is dealt over the pairs of its salts.
@@ -29,6 +29,8 @@ from ontomill.plans.ship import arrow_rows
 
 SEED = 42
 THRESHOLD = 3
+#: Differing bits that the replication is laid out for at most.
+MOST = 6
 #: Generator polynomial of the binary Golay code: x**11 + x**9 + x**7 + x**6 + x**5 + x + 1.
 GOLAY = 0b101011100011
 #: (first bit, bits) of each block, and the pairs of blocks.
@@ -84,29 +86,58 @@ def simhash(data: bytes, size: int = 3, seed: int = SEED) -> int:
     return sum(1 << b for b in bits)
 
 
+def simhash_of_words(data: bytes, seed: int = SEED) -> int:
+    """The fingerprint of a text's distinct words, each counted once, so that frequent words don't decide it; of none, zero.
+
+    An edited word changes one feature and not a whole run of shingles, so near copies stay within few bits.
+    """
+    words = set(data.lower().split())
+    if not words:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << b for b in np.flatnonzero(2 * counts > len(h)).tolist())
+
+
 def _hash_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The last column holds texts; it is replaced by their fingerprints."""
+    """The last column holds texts; it is replaced by their fingerprints; size 0 stands for distinct words."""
     for batch in batches:
-        f = np.array([simhash(x, size) for x in string_bytes(batch.column(batch.num_columns - 1))], np.uint64)
+        texts = string_bytes(batch.column(batch.num_columns - 1))
+        f = np.array([simhash(x, size) if size else simhash_of_words(x) for x in texts], np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(uint64_to_signed(f))], [*batch.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """``id, fp`` of every row; null counts as empty text."""
+    """``id, fp`` of every row, of shingles of ``size`` words or (size 0) of distinct words; null counts as empty text."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t"))
     return arrow_rows(rows, lambda it: _hash_rows(it, size), f"id {kind}, fp long")
 
 
 @cache
-def _leaders() -> np.ndarray:
-    """The error of least weight for each of the 2048 syndromes of the Golay code."""
-    out = np.zeros(1 << 11, np.int64)
-    bits = [1 << i for i in range(23)]
-    errors = [0, *bits, *(a | b for i, a in enumerate(bits) for b in bits[:i]), *(a | b | c for i, a in enumerate(bits) for j, b in enumerate(bits[:i]) for c in bits[:j])]
-    e = np.array(errors, np.int64)
-    out[_syndromes(e)] = e
-    return out
+def _cosets() -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the 2048 syndromes, the words of weight up to 5 with it, lightest first, and how far each exceeds the radius.
+
+    A word and an error of its syndrome make a code word, so these are the ways to the anchors around a word; rows are filled
+    up with an excess that never passes.
+    """
+    bits = 1 << np.arange(23)
+    words = [np.zeros(1, np.int64)]
+    for _ in range(5):
+        # every word once: a further bit above the highest
+        last = words[-1]
+        words.append(np.concatenate([last[last < b] | b for b in bits]))
+    words = np.concatenate(words)
+    syndromes, excess = _syndromes(words), np.maximum(0, np.bitwise_count(words).astype(np.int64) - 3)
+    order = np.lexsort((words, excess, syndromes))
+    syndromes, words, excess = syndromes[order], words[order], excess[order]
+    first = np.searchsorted(syndromes, np.arange(1 << 11))
+    place = np.arange(len(words)) - first[syndromes]
+    errors, over = np.zeros((1 << 11, place.max() + 1), np.int64), np.full((1 << 11, place.max() + 1), 9, np.int64)
+    errors[syndromes, place], over[syndromes, place] = words, excess
+    return errors, over
 
 
 def _syndromes(x: np.ndarray) -> np.ndarray:
@@ -121,35 +152,39 @@ def _syndrome_tables() -> tuple[np.ndarray, np.ndarray]:
     return _syndromes(np.arange(1 << 12)), _syndromes(np.arange(1 << 11) << 12)
 
 
-def nearest_anchors(words: np.ndarray) -> np.ndarray:
-    """The Golay code word nearest to each 23-bit word."""
+def around(words: np.ndarray, flips: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code words within covering radius plus ``flips`` of each 23-bit word, nearest first, and by how much each exceeds the radius."""
     low, high = _syndrome_tables()
-    return words ^ _leaders()[low[words & 0xFFF] ^ high[words >> 12]]
+    syndromes = low[words & 0xFFF] ^ high[words >> 12]
+    errors, over = _cosets()
+    width = int((over <= flips).sum(1).max())
+    return words[:, None] ^ errors[syndromes, :width], over[syndromes, :width]
+
+
+def flips_for(threshold: int) -> int:
+    """Half, rounded up, of the bits that can differ in the closest pair of blocks."""
+    return -(-(2 * threshold // 3) // 2)
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor key) for each anchor that a fingerprint goes to."""
-    own, near = [], []
-    for at, bits in BLOCKS:
-        word = (fp >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1)
-        own.append(nearest_anchors(word))
-        near.append(nearest_anchors(word[:, None] ^ (1 << np.arange(bits))[None, :]))
+    flips = flips_for(threshold)
+    blocks = [around((fp >> np.uint64(at)).astype(np.int64) & ((1 << bits) - 1), flips) for at, bits in BLOCKS]
     rows, keys = [], []
     for k, (i, j) in enumerate(PAIRS):
-        cells = np.concatenate([(own[i] << 23 | own[j])[:, None], near[i] << 23 | own[j][:, None], own[i][:, None] << 23 | near[j]], axis=1)
-        cells = np.sort(cells, axis=1)
-        first = np.concatenate([np.ones((len(cells), 1), bool), cells[:, 1:] != cells[:, :-1]], axis=1)
-        rows.append(np.nonzero(first)[0])
-        keys.append(cells[first] | (k << 46))
+        (a, over_a), (b, over_b) = blocks[i], blocks[j]
+        near = over_a[:, :, None] + over_b[:, None, :] <= flips
+        rows.append(np.nonzero(near)[0])
+        keys.append((a[:, :, None] << 23 | b[:, None, :])[near] | (k << 46))
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _replicate(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(values), 4096):
-            part = values[at : at + 4096]
-            rows, keys = anchors(part.view(np.uint64))
+        for at in range(0, len(values), 2048):
+            part = values[at : at + 2048]
+            rows, keys = anchors(part.view(np.uint64), threshold)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["cell", "fp"])
 
 
@@ -211,9 +246,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, small: int = 12)
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD, per_anchor: int = 2048) -> DataFrame:
     """``a, b`` for links that hold all pairs of distinct fingerprints (column ``fp``) at ``threshold`` or fewer bits together."""
-    if threshold > THRESHOLD:
-        raise ValueError("the blocks are laid out for at most three differing bits")
-    cells = arrow_rows(distinct.select("fp"), _replicate, "cell long, fp long")
+    if threshold > MOST:
+        raise ValueError(f"the blocks are laid out for at most {MOST} differing bits")
+    cells = arrow_rows(distinct.select("fp"), lambda it: _replicate(it, threshold), "cell long, fp long")
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > per_anchor).select(F.col("cell").alias("cell2"), F.ceil(F.col("n") / per_anchor).cast("int").alias("salts"))
     joined = cells.join(crowded, F.col("cell") == F.col("cell2"), "left").drop("cell2")
     salt = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("salts")).cast("int")

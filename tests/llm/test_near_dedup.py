@@ -55,21 +55,28 @@ def test_pieces_join(monkeypatch):
 
 def test_code_is_perfect():
     words = np.arange(0, 1 << 23, 97)
-    near = N.nearest_anchors(words)
-    assert np.bitwise_count(words ^ near).max() == 3
-    assert not N._syndromes(near).any()
-    assert len(set(N._syndromes(N._leaders()).tolist())) == 2048
+    near, over = N.around(words, 0)
+    assert near.shape[1] == 1 and not over.any()
+    assert np.bitwise_count(words ^ near[:, 0]).max() == 3
+    assert not N._syndromes(near[:, 0]).any()
+    # the sphere of radius 3 + flips around a word holds that many code words on average
+    sphere = [1, 23, 253, 1771, 8855, 33649]
+    for flips in (1, 2):
+        _, over = N.around(words, flips)
+        assert abs((over <= flips).sum(1).mean() - sum(sphere[: 4 + flips]) / 2048) < 0.05
 
 
 def test_close_pairs_share_an_anchor():
     rng = random.Random(5)
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 3):
-            b ^= 1 << bit
-        rows, keys = N.anchors(np.array([a, b], np.uint64))
-        assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+    for threshold in range(1, N.MOST + 1):
+        for _ in range(200):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), threshold):
+                b ^= 1 << bit
+            rows, keys = N.anchors(np.array([a, b], np.uint64), threshold)
+            assert set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist())
+            assert len(keys) == len({*zip(rows.tolist(), keys.tolist(), strict=True)})
 
 
 def signed(x):
@@ -90,9 +97,9 @@ def test_links_give_brute_force_components(spark):
             values.append(g)
     values = sorted(set(values))
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
-    want = brute_components([(i, v) for i, v in enumerate(values)])
-    for per_anchor in (2048, 3):
-        edges = N.links(df, per_anchor=per_anchor)
+    for per_anchor, threshold in ((2048, 3), (3, 3), (3, 6)):
+        want = brute_components([(i, v) for i, v in enumerate(values)], threshold)
+        edges = N.links(df, threshold, per_anchor)
         roots = {r.node: r.root for r in N.connected_components(edges, "a", "b").collect()}
         groups, expected = {}, {}
         for v in values:
@@ -123,3 +130,30 @@ def test_drop_and_empty(spark):
     assert 1 in ids and 2 not in ids and 9 not in ids
     assert N.near_duplicate_classes(empty(spark)).count() == 0
     assert N.drop_near_duplicates(empty(spark)).count() == 0
+
+
+def test_words(spark):
+    words = "b A a c B d".split()
+    hs = [xxhash.xxh64_intdigest(w, seed=42) for w in "abcd"]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > 4)
+    assert N.simhash_of_words(" ".join(words).encode()) == want and N.simhash_of_words(b" \n") == 0
+
+
+def test_near_copies_of_similarity_go(spark):
+    """Of edited copies whose five-word shingles have a similarity of 0.8 or more, most are found; unrelated texts are kept."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    rows, copies = [], 0
+    for k in range(150):
+        words = [vocabulary[int(3000 * rng.random() ** 2)] for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 4):
+            edited = list(words)
+            for at in rng.sample(range(300), 4):
+                edited[at] = rng.choice(vocabulary)
+            rows.append((10 * k + c, " ".join(edited)))
+            copies += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in N.drop_near_duplicates(df, threshold=6, size=0).collect()}
+    assert all(10 * k in kept for k in range(150))
+    assert len(kept) - 150 < 0.1 * copies
