@@ -7,6 +7,8 @@ Quantifiers are semi and anti joins, cardinalities are aggregates over the edges
 
 from __future__ import annotations
 
+import threading
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,29 @@ from ontomill.sources.graphs import Data, Edges, Ext, Graph
 Sets = dict[str, Ext]
 
 
+def with_timeout(df: DataFrame, seconds: float) -> list:
+    """The rows of ``df``; its jobs are cancelled and TimeoutError is raised if they take longer."""
+    context, tag = df.sparkSession.sparkContext, f"ontomill-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"not answered within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 class Reasoner:
     """Answers class expressions over a graph under the closed world.
 

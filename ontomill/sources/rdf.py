@@ -307,12 +307,17 @@ def triples_of(graph: TripleGraph) -> DataFrame:
 
 
 def save(graph: TripleGraph, path: str, fmt: str = "ntriples", context: str = "urn:graph") -> None:
-    """Writes a graph as a folder of part files: ntriples, nquads, turtle, jsonld or rdfxml (a document a part)."""
+    """Writes a graph as a folder of part files: ntriples, nquads, turtle, n3, trig, functional, dl, jsonld or rdfxml (a document a part)."""
+    if fmt in ("functional", "dl"):
+        axiom_lines(graph, fmt).write.text(path)
+        return
     t = triples_of(graph)
-    if fmt in ("ntriples", "nquads"):
+    if fmt == "trig":
+        t.select(F.concat(F.lit(f"GRAPH <{context}> {{ "), _line(t), F.lit(" . }")).alias("value")).write.text(path)
+    elif fmt in ("ntriples", "nquads"):
         tail = " ." if fmt == "ntriples" else f" <{context}> ."
         t.select(F.concat(_line(t), F.lit(tail)).alias("value")).write.text(path)
-    elif fmt == "turtle":  # a statement a line is Turtle too; subjects are grouped within a part
+    elif fmt in ("turtle", "n3"):  # a statement a line is Turtle too; subjects are grouped within a part
         t.sortWithinPartitions("s", "p").select(F.concat(_line(t), F.lit(" .")).alias("value")).write.text(path)
     elif fmt == "jsonld":
         value = F.when(F.col("o_kind") == "lit", F.to_json(F.struct(F.col("o").alias("@value"), F.col("dt").alias("@type")))).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
@@ -329,6 +334,29 @@ def save(graph: TripleGraph, path: str, fmt: str = "ntriples", context: str = "u
         raise ValueError(f"can't write {fmt}")
 
 
+#: Functional and DL notation of a row of each table; the columns stand in braces.
+NOTATIONS = {
+    "sub_class": ("SubClassOf({sub} {sup})", "{sub} ⊑ {sup}"), "equivalent_class": ("EquivalentClasses({a} {b})", "{a} ≡ {b}"), "disjoint_class": ("DisjointClasses({a} {b})", "{a} ⊓ {b} ⊑ ⊥"),
+    "sub_prop": ("SubObjectPropertyOf({sub} {sup})", "{sub} ⊑ {sup}"), "equivalent_prop": ("EquivalentObjectProperties({a} {b})", "{a} ≡ {b}"), "disjoint_prop": ("DisjointObjectProperties({a} {b})", "{a} ⊓ {b} ⊑ ⊥"), "inverse_prop": ("InverseObjectProperties({p} {q})", "{p} ≡ {q}⁻"),
+    "domain": ("ObjectPropertyDomain({p} {cls})", "∃ {p}.⊤ ⊑ {cls}"), "range": ("ObjectPropertyRange({p} {cls})", "⊤ ⊑ ∀ {p}.{cls}"), "same_as": ("SameIndividual({a} {b})", "{a} = {b}"), "different_from": ("DifferentIndividuals({a} {b})", "{a} ≠ {b}"),
+    "class_assertion": ("ClassAssertion({cls} {ind})", "{cls}({ind})"), "obj_assertion": ("ObjectPropertyAssertion({p} {s} {o})", "{p}({s}, {o})"), "data_assertion": ("DataPropertyAssertion({p} {s} {literal})", "{p}({s}, {literal})"),
+}
+
+
+def axiom_lines(graph: TripleGraph, notation: str = "functional") -> DataFrame:
+    """``value``: an axiom a line, in functional or DL notation."""
+    frames = []
+    for table, forms in NOTATIONS.items():
+        df = graph.table(table)
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(F.col("lex"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"^^<'), F.col("dt"), F.lit(">")) if table == "data_assertion" else None
+        parts = []
+        for i, piece in enumerate(re.split(r"[{}]", forms[notation == "dl"])):
+            if piece:
+                parts.append(F.lit(piece) if i % 2 == 0 else quoted if piece == "literal" else F.concat(F.lit("<"), F.col(piece), F.lit(">")))
+        frames.append(df.select(F.concat(*parts).alias("value")))
+    return reduce(DataFrame.unionAll, frames).where("value is not null").distinct()
+
+
 def _xml_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One RDF/XML document for a task's rows."""
     opened = False

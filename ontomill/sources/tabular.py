@@ -198,3 +198,25 @@ def typed_columns(table: DataFrame, casts: dict[str, str]) -> DataFrame:
         return F.col(c).try_cast(casts[c])
 
     return table.withColumns({c: tried(c) for c in casts})
+
+
+def save_expressions(spark: SparkSession, expressions: list, path: str) -> None:
+    """Class expressions as rows ``i, dl, manchester``."""
+    from ontomill.plans.syntax import render_dl, render_manchester
+
+    rows = [(i, render_dl(c, lambda x: f"<{x}>"), render_manchester(c, lambda x: f"<{x}>")) for i, c in enumerate(expressions)]
+    spark.createDataFrame(rows, "i int, dl string, manchester string").write.json(path)
+
+
+def select_remote(spark: SparkSession, endpoint: str, sparql: str, timeout: float = 60) -> DataFrame:
+    """The rows that a SPARQL endpoint answers, every value as text; the answer is one response, bounded by the endpoint."""
+    import json
+    import urllib.parse
+    import urllib.request
+
+    request = urllib.request.Request(endpoint, urllib.parse.urlencode({"query": sparql}).encode(), {"Accept": "application/sparql-results+json"})
+    with urllib.request.urlopen(request, timeout=timeout) as response:
+        answer = json.load(response)
+    names = answer["head"]["vars"]
+    rows = [tuple(b[n]["value"] if n in b else None for n in names) for b in answer["results"]["bindings"]]
+    return spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))

@@ -1,3 +1,4 @@
+import http.server
 import json
 import threading
 import urllib.request
@@ -9,13 +10,13 @@ from pyspark.sql import functions as F
 from ontomill.functions import text as T
 from ontomill.operators import extract, materialise as M, metrics, mutate, perturb
 from ontomill.operators.embedding import EmbeddingGraph, similar
-from ontomill.operators.retrieval import Reasoner
+from ontomill.operators.retrieval import Reasoner, with_timeout
 from ontomill.operators.rules import RuleEngine, parse_rule
 from ontomill.operators.schema import Hierarchy, Schema
 from ontomill.plans import expr as E
 from ontomill.plans.expr import XSD, Class, Literal, Prop, axiom
 from ontomill.plans.graph import connected_components, transitive_closure
-from ontomill.plans.syntax import parse_dl
+from ontomill.plans.syntax import parse_axiom, parse_dl, render_axiom
 from ontomill.service import answer, serve
 from ontomill.sources import rdf, tabular
 from ontomill.streaming import ingest as stream
@@ -107,6 +108,13 @@ def test_rdf_round_trips(spark, tmp_path):
     assert sum(len(v) for d in docs for k, v in d.items() if k != "@id") == len(want)
     with pytest.raises(ValueError):
         rdf.save(g, f"{tmp_path}/x", "obo")
+    rdf.save(g, f"{tmp_path}/functional", "functional")
+    lines = {r.value for r in spark.read.text(f"{tmp_path}/functional").collect()}
+    assert f"SubClassOf(<{n('male')}> <{n('person')}>)" in lines and f"ObjectPropertyAssertion(<{n('hasChild')}> <{n('anna')}> <{n('heinz')}>)" in lines
+    rdf.save(g, f"{tmp_path}/dl", "dl")
+    assert f"<{n('male')}> ⊑ <{n('person')}>" in {r.value for r in spark.read.text(f"{tmp_path}/dl").collect()}
+    rdf.save(g, f"{tmp_path}/trig", "trig")
+    assert spark.read.text(f"{tmp_path}/trig").where("value like 'GRAPH <urn:graph> {%}'").count() == len(want)
 
 
 def test_parsers(spark, tmp_path):
@@ -248,3 +256,38 @@ def test_service(spark):
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(urllib.request.Request(url + "/nothing", data=b"{}"))
     server.shutdown()
+
+
+def test_remote_and_expressions(spark, tmp_path):
+    class Endpoint(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.dumps({"head": {"vars": ["x", "y"]}, "results": {"bindings": [{"x": {"value": "1"}}, {"x": {"value": "2"}, "y": {"value": "b"}}]}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = tabular.select_remote(spark, f"http://127.0.0.1:{server.server_port}/sparql", "SELECT * WHERE { ?x ?y ?z }")
+    server.shutdown()
+    assert sorted(map(tuple, got.collect())) == [("1", None), ("2", "b")]
+    tabular.save_expressions(spark, [parse_dl("∃ r.A", "u:"), parse_dl("¬B", "u:")], f"{tmp_path}/ces")
+    back = {r.i: r.dl for r in spark.read.json(f"{tmp_path}/ces").collect()}
+    assert parse_dl(back[0]) == parse_dl("∃ r.A", "u:")
+
+
+def test_axiom_syntax_and_timeout(spark):
+    a = parse_axiom("Father ⊑ male ⊓ ∃ hasChild.⊤", NS)
+    assert a.kind == "SubClassOf" and render_axiom(a) == "Father ⊑ male ⊓ (∃ hasChild.⊤)"
+    assert parse_axiom(render_axiom(a), NS) == a
+    assert parse_axiom("male(anna)", NS).args == (Class(n("male")), n("anna"))
+    assert render_axiom(parse_axiom("A ≡ ¬B", NS)) == "A ≡ ¬B"
+    with pytest.raises(ValueError):
+        parse_axiom("A B", NS)
+    assert len(with_timeout(spark.range(5), 60)) == 5
+    slow = spark.range(0, 10**13, 1, 4).selectExpr("sum(sqrt(id)) as x")
+    with pytest.raises(TimeoutError):
+        with_timeout(slow, 1)
