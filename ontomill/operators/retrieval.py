@@ -101,7 +101,7 @@ class Reasoner:
     @staticmethod
     def cheap_first(sets: list[Sets]) -> list[Sets]:
         """Sets that are plain filters before those that hold joins."""
-        return sorted(sets, key=lambda s: sum(x.df is not None for x in s.values()))
+        return sorted(sets, key=lambda s: sum((x.df is not None) + (x.frame is not None) for x in s.values()))
 
     def listed(self, inds: tuple[str, ...]) -> Sets:
         by: dict[str, list] = {}
@@ -127,24 +127,32 @@ class Reasoner:
         return out
 
     @staticmethod
-    def fused(a: Ext, b: Ext) -> bool:
+    def same_rows(a: Ext, b: Ext) -> bool:
         return a.source is not None and b.source is not None and a.source.name == b.source.name
 
     def both(self, a: Sets, b: Sets) -> Sets:
         out = {}
         for kind in a.keys() & b.keys():
             x, y = a[kind], b[kind]
-            if self.fused(x, y):
-                out[kind] = Ext(x.source, x.pred & y.pred if x.pred is not None and y.pred is not None else x.pred if y.pred is None else y.pred)
+            if self.same_rows(x, y) and (x.frame is None or y.frame is None):
+                pred = x.pred & y.pred if x.pred is not None and y.pred is not None else x.pred if y.pred is None else y.pred
+                out[kind] = Ext(x.source, pred, frame=x.frame if y.frame is None else y.frame)
             else:
-                out[kind] = Ext(df=x.keys().join(y.keys(), "k", "left_semi"))
+                out[kind] = self.kept(x, y, "left_semi")
         return out
 
+    @staticmethod
+    def kept(x: Ext, y: Ext, how: str) -> Ext:
+        """Those of ``x`` that are, or are not, in ``y``, by a join on keys; rows of a table stay rows."""
+        if x.source is None:
+            return Ext(df=x.keys().join(y.keys(), "k", how))
+        return Ext(x.source, frame=x.rows().join(y.keys().withColumnRenamed("k", "__k"), x.source.key == F.col("__k"), how))
+
     def either(self, a: Sets, b: Sets) -> Sets:
         out = dict(a) | {k: v for k, v in b.items() if k not in a}
         for kind in a.keys() & b.keys():
             x, y = a[kind], b[kind]
-            if self.fused(x, y):
+            if self.same_rows(x, y) and x.frame is None and y.frame is None:
                 out[kind] = Ext(x.source, None if x.pred is None or y.pred is None else x.pred | y.pred)
             else:
                 out[kind] = Ext(df=x.keys().unionAll(y.keys()).distinct())
@@ -156,12 +164,12 @@ class Reasoner:
             y = b.get(kind)
             if y is None:
                 out[kind] = x
-            elif self.fused(x, y):
+            elif self.same_rows(x, y) and y.frame is None:
                 if y.pred is not None:
                     rest = ~F.coalesce(y.pred, F.lit(False))
-                    out[kind] = Ext(x.source, rest if x.pred is None else x.pred & rest)
+                    out[kind] = Ext(x.source, rest if x.pred is None else x.pred & rest, frame=x.frame)
             else:
-                out[kind] = Ext(df=x.keys().join(y.keys(), "k", "left_anti"))
+                out[kind] = self.kept(x, y, "left_anti")
         return out
 
     # ---- object restrictions
@@ -174,7 +182,7 @@ class Reasoner:
         if ext is None:
             return None
         if e.o_row and ext.source is not None and ext.source.name == e.rows:
-            return e.table if ext.pred is None else e.table.where(ext.pred)
+            return ext.rows()
         return e.table.withColumn("__o", e.o).join(ext.keys().withColumnRenamed("k", "__k"), F.col("__o") == F.col("__k"), "left_semi")
 
     def failing(self, e: Edges, filler: Sets) -> DataFrame:
@@ -182,7 +190,7 @@ class Reasoner:
         ext = filler.get(e.o_kind)
         if ext is None:
             return e.table
-        if e.o_row and ext.source is not None and ext.source.name == e.rows:
+        if e.o_row and ext.source is not None and ext.source.name == e.rows and ext.frame is None:
             return e.table.where(F.lit(False) if ext.pred is None else ~F.coalesce(ext.pred, F.lit(False)))
         return e.table.withColumn("__o", e.o).where("__o is not null").join(ext.keys().withColumnRenamed("k", "__k"), F.col("__o") == F.col("__k"), "left_anti")
 
@@ -197,9 +205,14 @@ class Reasoner:
             found = [(e, self.passing(e, filler, whole)) for e in edges]
             out: Sets = {}
             for e, df in found:
-                if df is not None:
-                    own = e.s_row and len(found) == 1  # each row is another subject
-                    out = self.either(out, self.gathered([(e.s_kind, df.where(e.o.isNotNull()).select(e.s.alias("k")))], distinct=not own))
+                if df is None:
+                    continue
+                linked = df.where(e.o.isNotNull())
+                own = self.graph.universe().get(e.s_kind) if e.s_row else None
+                if own is not None and own.source is not None and own.source.name == e.rows:  # each row is another subject
+                    out = self.either(out, {e.s_kind: Ext(own.source, frame=linked)})
+                else:
+                    out = self.either(out, self.gathered([(e.s_kind, linked.select(e.s.alias("k")))]))
             return out
         return self.counted(c, edges, filler, whole)
 

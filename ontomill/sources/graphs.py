@@ -43,17 +43,23 @@ class Source:
 
 @dataclass(frozen=True)
 class Ext:
-    """Individuals of one kind: rows of a source that a predicate picks, or a DataFrame of distinct keys ``k``."""
+    """Individuals of one kind: rows of a source, or a DataFrame of distinct keys ``k``.
+
+    The rows are those of ``frame`` (by default the source's table) that ``pred`` picks; a frame is the table after joins that
+    only leave rows out, so it has the table's columns and further restrictions on the same rows need no join by key.
+    """
 
     source: Source | None = None
     pred: Column | None = None
     df: DataFrame | None = None
+    frame: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        table = self.source.df if self.frame is None else self.frame
+        return table if self.pred is None else table.where(self.pred)
 
     def keys(self) -> DataFrame:
-        if self.df is not None:
-            return self.df
-        rows = self.source.df if self.pred is None else self.source.df.where(self.pred)
-        return rows.select(self.source.key.alias("k"))
+        return self.df if self.df is not None else self.rows().select(self.source.key.alias("k"))
 
 
 @dataclass(frozen=True)
