@@ -12,27 +12,40 @@ from ontomill.plans.rounds import durable
 from ontomill.plans.ship import arrow_rows
 
 
+#: Nodes of a task's trees that are held before they are passed on.
+HELD = 200_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one partition, replaced batch by batch by a star from each node to the least node of its tree."""
-    for batch in batches:
-        up: dict = {}
+    """Edges of one task, replaced by a star from each node to the least node of its tree."""
+    up: dict = {}
+    kind = None
+
+    def root(x):  # noqa: ANN001, ANN202
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-        def root(x, up=up):
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(up) if (r := root(x)) != x]
+        up.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["u", "v"])
 
+    for batch in batches:
+        kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb:
                 lo, hi = (ra, rb) if ra < rb else (rb, ra)
                 up[hi] = lo
                 up.setdefault(lo, lo)
-        pairs = [(x, root(x)) for x in list(up)]
-        pairs = [(x, r) for x, r in pairs if x != r]
-        kind = batch.schema.field(0).type
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["u", "v"])
+                up.setdefault(a, root(a))
+                up.setdefault(b, root(b))
+        if len(up) > HELD:
+            yield stars()
+    if up:
+        yield stars()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -45,7 +58,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u is not null and v is not null and u <> v")
-    e = durable(arrow_rows(pairs, _forest, f"u {kind}, v {kind}"))
+    e = arrow_rows(pairs, _forest, f"u {kind}, v {kind}")
+    # the stars of all tasks meet by node: a node has at most one edge a task, however many links it has
+    e = durable(arrow_rows(e.repartition("u"), _forest, f"u {kind}, v {kind}"))
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
