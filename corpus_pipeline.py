@@ -37,9 +37,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that expected tokens of good and poor documents stand at the shares; good ones keep a rate of about one."""
+    """Documents sampled so that expected tokens of good and poor documents stand at the shares.
+
+    Poor documents are lowered where they have more than their share and repeated where they have less; good ones are not lowered
+    to make up for scarce poor ones.
+    """
     labels = registry.labelled_domains(registry.table(spark, sf_dir, "labels")).where(F.col("domain").isin(*DOMAINS))
-    return mixing.mixed(docs, mixing.fit_domains(docs, labels, DOMAINS), SHARES)
+    return mixing.mixed(docs, mixing.fit_domains(docs, labels, DOMAINS), SHARES, whole=DOMAINS.index("good"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

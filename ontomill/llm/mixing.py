@@ -153,6 +153,27 @@ def keep_all_total(members: DataFrame, weights: tuple[float, ...]) -> float:
     return float(min((have[i] or 0.0) / share[i] for i in range(k) if share[i] > 0))
 
 
+def whole_total(members: DataFrame, weights: tuple[float, ...], whole: int) -> float | None:
+    """The total at which domain ``whole`` is not lowered to make up for scarcer ones.
+
+    If it is the scarcest, that is ``keep_all_total``. Else rates are ``1 + p . x``, where ``x`` is zero at ``whole`` and nowhere
+    negative: no rate is below one, and the other domains are repeated as far as they are short. None if there is no such total.
+    """
+    k = len(weights)
+    t, p = F.col("n_tokens"), [F.col("p")[i] for i in range(k)]
+    sums = members.agg(*[F.sum(t * p[i]).alias(f"h{i}") for i in range(k)], *[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k) if j != whole]).first()
+    have, normal = (np.array([x or 0.0 for x in part]) for part in (sums[:k], sums[k:]))
+    share = np.array(weights) / np.sum(weights)
+    natural = [h / w if w > 0 else np.inf for h, w in zip(have, share, strict=True)]
+    if natural[whole] <= min(natural):
+        return float(natural[whole])
+    try:
+        *x, total = np.linalg.solve(np.column_stack([normal.reshape(k, k - 1), -share]), -have)
+    except np.linalg.LinAlgError:
+        return None
+    return float(total) if np.isfinite(total) and total > 0 and min(x, default=0.0) >= 0 else None
+
+
 def rate_of(steps: list[np.ndarray], p: Column) -> Column:
     """The rate as an expression over the posterior array."""
     r = F.lit(1.0)
@@ -161,15 +182,17 @@ def rate_of(steps: list[np.ndarray], p: Column) -> Column:
     return r
 
 
-def mixed(docs: DataFrame, model: DomainModel, weights: tuple[float, ...], id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+def mixed(docs: DataFrame, model: DomainModel, weights: tuple[float, ...], id_col: str = "doc_id", text_col: str = "text", seed: int = 42, whole: int | None = None) -> DataFrame:
     """The rows of ``docs`` sampled at their rates, columns as they were.
 
     The total is the largest at which no domain is short, so that rates stay about one or below and documents of the scarcest
-    domain stay. A row of rate ``r`` stands ``floor(r)`` times, and once more if a hash of its id is below the remainder; null
+    domain stay. If another domain than ``whole`` is the scarcest, the total is that of ``whole_total``, so that no rate falls
+    below one and the others are repeated; where no repeating meets the shares, every row stays once. A row of rate ``r`` stands ``floor(r)`` times, and once more if a hash of its id is below the remainder; null
     ids share one draw.
     """
     members = durable(memberships(docs, model, id_col, text_col))
-    steps, _ = fit_rates(members, weights, keep_all_total(members, weights))
+    total = keep_all_total(members, weights) if whole is None else whole_total(members, weights, whole)
+    steps = [] if total is None else fit_rates(members, weights, total)[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns, ids, texts = docs.columns, docs.columns.index(id_col), docs.columns.index(text_col)
 

@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as P
-from ontomill.llm import bpe, near_dedup, registry
+from ontomill.llm import bpe, mixing, near_dedup, registry
 from tests.llm.awkward import SCHEMA, awkward, empty
 from tests.llm.test_near_dedup import brute_components
 
@@ -45,3 +45,21 @@ def test_stages_on_awkward_tables(spark):
         for _, stage in P.STAGES:
             out = stage(spark, df, SF)
             assert out.count() <= df.count() * 2
+
+
+def test_scarce_poor_documents_cost_no_good_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = registry.labelled_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    toxic = labels.where("domain = 'toxic'").withColumnRenamed("id", "doc_id")
+    docs = docs.join(toxic, "doc_id", "left_anti")
+    model = mixing.fit_domains(docs, labels.where("domain <> 'toxic'"), P.DOMAINS)
+    members = {r.id: r for r in mixing.memberships(docs, model).collect()}
+    have = sum(r.n_tokens * r.p[1] for r in members.values()) / sum(r.n_tokens for r in members.values())
+    assert have < P.SHARES[1]
+    times = Counter(r.doc_id for r in P.mix(spark, docs, sf).collect())
+    good = {r.id for r in labels.where("domain = 'good'").collect()} & set(members)
+    assert good and all(times[i] >= 1 for i in good)
+    tokens = sum(n * members[i].n_tokens for i, n in times.items())
+    poor = sum(n * members[i].n_tokens * members[i].p[1] for i, n in times.items())
+    assert have < poor / tokens < P.SHARES[1] + 0.02
