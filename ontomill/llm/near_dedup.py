@@ -265,22 +265,34 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Null text counts as empty (fingerprint zero); a null id is passed over when the least id is taken; an empty table gives
     an empty result; repeated rows have equal results.
     """
-    p = durable(fingerprints(docs, id_col, text_col, size))
+    return _classes(durable(fingerprints(docs, id_col, text_col, size)), threshold, per_anchor).select("id", "fp", "component_id")
+
+
+def _classes(p: DataFrame, threshold: int, per_anchor: int = 2048) -> DataFrame:
+    """The rows of ``p`` (``id, fp`` and others) with their ``component_id``."""
     distinct = durable(p.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(links(distinct, threshold, per_anchor), "a", "b")
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = durable(of)
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return p.join(of.join(least, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return p.join(of.join(least, "root").select("fp", "component_id"), "fp").select(*p.columns, "component_id")
+
+
+def _keyed_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``id, sha, fp`` of every row; an id alone doesn't name a row where it is null or stands on several texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).select("id", F.sha2("t", 256).alias("sha"), "t")
+    return arrow_rows(rows, lambda it: _hash_rows(it, size), f"id {kind}, sha string, fp long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = 3) -> DataFrame:
     """The rows of ``docs``, one of each component (its least id), with their columns as they were.
 
-    Rows that share that id all stay; run exact deduplication first if ids repeat.
+    Rows that share that id all stay; run exact deduplication first if ids repeat. Rows go by id and text, so a null id, or one
+    that stands on several texts, goes only where its own text is a near copy.
     """
-    classes = durable(near_duplicate_classes(docs, id_col, text_col, threshold, size))
-    gone = classes.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("id2")).distinct()
-    rows = packed(docs, id=F.col(f"`{id_col}`"))
-    gone = maybe_broadcast(gone, gone.count(), 64)
-    return unpacked(rows.join(gone, F.col("id").eqNullSafe(F.col("id2")), "left_anti"))
+    classes = durable(_classes(durable(_keyed_prints(docs, id_col, text_col, size)), threshold))
+    gone = classes.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("id2"), F.col("sha").alias("sha2")).distinct()
+    rows = packed(docs, id=F.col(f"`{id_col}`"), sha=F.sha2(text_of(text_col), 256))
+    gone = maybe_broadcast(gone, gone.count(), 160)
+    return unpacked(rows.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left_anti"))

@@ -157,3 +157,10 @@ def test_near_copies_of_similarity_go(spark):
     kept = {r.doc_id for r in N.drop_near_duplicates(df, threshold=6, size=0).collect()}
     assert all(10 * k in kept for k in range(150))
     assert len(kept) - 150 < 0.1 * copies
+
+
+def test_ids_that_are_null_or_repeat_cost_no_unrelated_text(spark):
+    one, other = "alpha beta gamma delta epsilon zeta", "wholly unrelated words stand in this one here"
+    rows = [(1, one), (None, one), (None, other), (7, one), (7, "and a third text that nothing else is near to")]
+    out = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
