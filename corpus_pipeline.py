@@ -13,6 +13,8 @@ from ontomill.plans.rounds import checkpoint_dir
 #: Domains that the mixing stage weighs (toxic documents are gone by then) and their shares of tokens.
 DOMAINS = ("good", "poor")
 SHARES = (0.9, 0.1)
+#: Jaccard similarity of five-word shingles from which a document is a near copy.
+SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +33,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Fingerprints are of distinct words, linked at six bits. That takes in most pairs of documents whose five-word shingles
     have a similarity of 0.8 or more; fingerprints of five-word shingles themselves differ in about nine bits there, out of
-    reach of any such threshold (see the README for the measured table).
+    reach of any such threshold (see the README for the measured table). Fingerprints only find candidates: a link holds if the
+    whole texts' shingles have that similarity.
     """
-    return near_dedup.drop_near_duplicates(docs, threshold=6, size=0)
+    return near_dedup.drop_near_duplicates(docs, threshold=6, size=0, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Bytes of a text whose shingles are hashed at a time.
 PIECE = 1 << 20
+#: Words of a shingle in the comparison of whole texts.
+SHINGLE = 5
 
 
 def _pieces(data: bytes) -> Iterator[list[bytes]]:
@@ -285,13 +287,119 @@ def _keyed_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
     return arrow_rows(rows, lambda it: _hash_rows(it, size), f"id {kind}, sha string, fp long")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = 3) -> DataFrame:
+def shingle_set(data: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles, words as in ``simhash``; a text of fewer words has one, the whole, of none, none."""
+    found, tail, short = [], [], True
+    digest = xxhash.xxh64_intdigest
+    for words in _pieces(data.lower()):
+        words = tail + words
+        n = len(words) - size + 1
+        if n > 0:
+            short = False
+            found.append(np.unique(np.fromiter((digest(b" ".join(words[k : k + size]), seed) for k in range(n)), np.uint64, n)))
+            tail = words[n:]
+        else:
+            tail = words
+    if short and tail:
+        return np.array([digest(b" ".join(tail), seed)], np.uint64)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column holds texts; it is replaced by their shingle sets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            sets = [shingle_set(x).tobytes() for x in string_bytes(part.column(part.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*part.schema.names[:-1], "s"])
+
+
+def _similar(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have that Jaccard similarity, or more, to ``x``; two empty sets are equal."""
+    out = np.zeros(len(others), bool)
+    for k, y in enumerate(others):
+        shared = 0
+        if len(x) and len(y):
+            at = np.searchsorted(x, y)
+            at[at == len(x)] = 0
+            shared = int((x[at] == y).sum())
+        out[k] = shared * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9
+    return out
+
+
+def _verified(fps: np.ndarray, sets: list[np.ndarray], threshold: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs near in fingerprint whose sets are similar: only a verified link takes a text off the rest."""
+    sizes = np.array([len(x) for x in sets])
+    rest = np.arange(len(fps))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            able = similarity * np.maximum(sizes[rest], sizes[x]) <= np.minimum(sizes[rest], sizes[x]) + 1e-9
+            hit = np.flatnonzero(able & _near(fps[rest], fps[x], threshold))
+            hit = hit[_similar(sets[x], [sets[k] for k in rest[hit]], similarity)]
+            yield from ((int(x), int(k)) for k in rest[hit])
+            queue.extend(rest[hit])
+            rest = np.delete(rest, hit)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of rows (root, part, sha, fp, s) that come sorted by root and part."""
+
+    def found(rows: list) -> pa.RecordBatch:
+        fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)
+        pairs = list(_verified(fps, [np.frombuffer(r[2], np.uint64) for r in rows], threshold, similarity))
+        return pa.RecordBatch.from_arrays([pa.array([rows[p[i]][0] for p in pairs], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    key, held = None, []
+    for batch in batches:
+        for root, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (root, part) != key:
+                if len(held) > 1:
+                    yield found(held)
+                key, held = (root, part), []
+            held.append(row)
+    if len(held) > 1:
+        yield found(held)
+
+
+def _verified_classes(docs: DataFrame, p: DataFrame, text_col: str, threshold: int, similarity: float, per_block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
+    """``id, sha, component_id`` of the rows of ``p`` (``id, sha, fp``) that share a component of fingerprints with another row.
+
+    Components of fingerprints are only where links are looked for: every pair in one of them that is near in fingerprint is
+    compared by its texts' shingles, also where the fingerprints are equal, and the component is that of the verified links.
+    A large component is cut into blocks, and each pair of blocks meets in one task.
+    """
+    distinct = durable(p.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = connected_components(links(distinct, threshold), "a", "b")
+    of = durable(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
+    shared = of.groupBy("root").agg(F.sum("n").alias("m")).where("m > 1").select("root")
+    members = durable(p.join(of.select("fp", "root").join(shared, "root"), "fp").select("id", "sha", "fp", "root"))
+    wanted = members.select(F.col("sha").alias("sha2"), "fp", "root").distinct()
+    texts = docs.select(text_of(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
+    texts = texts.join(maybe_broadcast(wanted, members.count(), 160), F.col("sha") == F.col("sha2")).select("root", "sha", "fp", "t")
+    sets = durable(arrow_rows(texts, _set_rows, "root long, sha string, fp long, s binary").dropDuplicates(["sha"]))
+    blocks = F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum(F.octet_length("s").cast("long")) / block_bytes)).cast("int")
+    sizes = sets.groupBy("root").agg(F.count("*").alias("m"), blocks.alias("blocks")).where("m > 1").select(F.col("root").alias("root2"), "blocks")
+    joined = sets.join(sizes, F.col("root") == F.col("root2")).drop("root2").withColumn("x", F.pmod(F.xxhash64("sha"), F.col("blocks")).cast("int"))
+    dealt = joined.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.least("x", "y").cast("long") * (1 << 31) + F.greatest("x", "y")
+    dealt = dealt.select("root", part.alias("part"), "sha", "fp", "s").repartition("root", "part").sortWithinPartitions("root", "part")
+    found = connected_components(arrow_rows(dealt, lambda it: _verify(it, threshold, similarity), "a string, b string"), "a", "b")
+    of = durable(members.select("id", "sha").join(found.withColumnRenamed("root", "top"), F.col("sha") == F.col("node"), "left").select("id", "sha", F.coalesce("top", "sha").alias("top")))
+    return of.join(of.groupBy("top").agg(F.min("id").alias("component_id")), "top").select("id", "sha", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, one of each component (its least id), with their columns as they were.
 
+    With ``similarity``, a link holds only if the texts' shingles of ``SHINGLE`` words have that Jaccard similarity or more.
+
     Rows that share that id all stay; run exact deduplication first if ids repeat. Rows go by id and text, so a null id, or one
     that stands on several texts, goes only where its own text is a near copy.
     """
-    classes = durable(_classes(durable(_keyed_prints(docs, id_col, text_col, size)), threshold))
+    p = durable(_keyed_prints(docs, id_col, text_col, size))
+    classes = durable(_classes(p, threshold) if similarity is None else _verified_classes(docs, p, text_col, threshold, similarity))
     gone = classes.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("id2"), F.col("sha").alias("sha2")).distinct()
     rows = packed(docs, id=F.col(f"`{id_col}`"), sha=F.sha2(text_of(text_col), 256))
     gone = maybe_broadcast(gone, gone.count(), 160)

@@ -164,3 +164,52 @@ def test_ids_that_are_null_or_repeat_cost_no_unrelated_text(spark):
     rows = [(1, one), (None, one), (None, other), (7, one), (7, "and a third text that nothing else is near to")]
     out = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def five(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingle_sets_equal_brute_force(monkeypatch):
+    texts = ["", " \n", "a", "a B c d", "a b c d e", "a b c d e A B C D E", " ".join(f"w{i % 40}" for i in range(500))]
+    want = [sorted({xxhash.xxh64_intdigest(" ".join(s).encode(), seed=42) for s in five(t)}) for t in texts]
+    assert [N.shingle_set(t.encode()).tolist() for t in texts] == want
+    monkeypatch.setattr(N, "PIECE", 50)
+    assert [N.shingle_set(t.encode()).tolist() for t in texts] == want
+
+
+def test_links_are_verified_on_the_texts(spark, monkeypatch):
+    """Unrelated long texts of one vocabulary, reordered texts and repeated words stay; edited copies go, in small blocks too."""
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=50_000))) for i in range(3)]
+    words = rng.sample(vocabulary, 200)
+    for i in range(10, 14):
+        rows.append((i, " ".join(words)))
+        rng.shuffle(words)
+    rows += [(20, "one two three four five six " + "six " * 60), (21, "six " + "five four three two one " * 40)]
+    for i in range(30, 60):
+        edited = list(words)
+        edited[3 * (i - 30)] = "new"
+        rows.append((i, " ".join(edited)))
+    prints = [N.simhash_of_words(t.encode()) for _, t in rows]
+    assert len(set(prints[:7])) <= 2
+    sets, up = [five(t) for _, t in rows], {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 6 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root(rows[a][0]), root(rows[b][0])))
+                up[hi] = lo
+    want = {root(i) for i, _ in rows}
+    assert {0, 1, 2, 10, 11, 12, 13, 20, 21} <= want and len(want) < 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_block in (256, 4):
+        monkeypatch.setattr(N._verified_classes, "__defaults__", (per_block, 8 << 20))
+        assert {r.doc_id for r in N.drop_near_duplicates(df, threshold=6, size=0, similarity=0.8).collect()} == want
