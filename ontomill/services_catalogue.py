@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ontomill.functions import text as T
@@ -308,12 +308,15 @@ def windowed_counts(spark, sf_dir):
 
 @query("SELECT 'customer/' || o_custkey AS node, 'customer/' || min(o_custkey) OVER () AS root FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 0) x")
 def connected(spark, sf_dir):
-    """Customers joined in a chain by their order of keys are one component."""
+    """Customers of even keys joined in a chain by their order of keys are one component; the SQL asks for even keys alone."""
     keys = _table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select("o_custkey").distinct()
-    least = keys.agg(F.min("o_custkey").alias("m"))
-    edges = keys.join(F.broadcast(least), F.lit(True)).select(F.col("o_custkey").alias("a"), F.greatest(F.col("m"), F.col("o_custkey") - 2).alias("b"))
-    chain = keys.select(F.col("o_custkey").alias("k"))
-    edges = edges.join(chain, F.col("b") == F.col("k"), "left").select("a", F.coalesce("k", F.lit(None)).alias("b")).unionAll(keys.join(F.broadcast(least), F.lit(True)).select("o_custkey", "m"))
+    # the key before, within a block of keys, or for a block's least key the greatest of the block before
+    block = F.floor(F.col("o_custkey") / 1024)
+    before = F.lag("o_custkey").over(Window.partitionBy("block").orderBy("o_custkey"))
+    blocks = keys.groupBy(block.alias("block")).agg(F.max("o_custkey").alias("top"))
+    last = blocks.select("block", F.lag("top").over(Window.orderBy("block")).alias("top"))
+    inside = keys.withColumn("block", block).withColumn("k", before)
+    edges = inside.join(last, "block").select(F.col("o_custkey").alias("a"), F.coalesce("k", "top", "o_custkey").alias("b"))
     out = connected_components(edges, "a", "b")
     return out.select(F.concat(F.lit("customer/"), "node").alias("node"), F.concat(F.lit("customer/"), "root").alias("root"))
 

@@ -28,3 +28,13 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_connected_is_a_chain(spark, monkeypatch):
+    """No key has more than its two neighbours, so that components are found over the chain."""
+    seen, real = [], services_catalogue.connected_components
+    monkeypatch.setattr(services_catalogue, "connected_components", lambda e, a, b: seen.append(e) or real(e, a, b))
+    assert rows_of(QUERIES["connected"](spark, SF)) == sql_rows(SQL["connected"], SF)
+    edges = {(r.a, r.b) for r in seen[0].collect() if r.a != r.b}
+    keys = sorted({k for e in edges for k in e})
+    assert len(keys) > 2 and edges == set(zip(keys[1:], keys, strict=False))
