@@ -2,9 +2,11 @@
 
 Turns are marked ``<|im_start|>role``, newline, text, ``<|im_end|>``, newline. Inside roles and texts the backslash and the
 start of a marker are escaped, so no text can forge a turn, and reading back is exact. Prefix sums of turn tokens choose the
-windows: a turn belongs to the window in which its first token falls, so windows are aligned to turns. Each window retains the
-conversation's opening system turn, repeats the turns that end within the last ``history`` tokens before it, and masks what
-is repeated: the loss covers the assistant texts of a window's own turns, so each text has loss once.
+windows: the conversation is laid out in strides of what the budget leaves beside the system turn and the history; turns that
+lie within a stride are a window, and a turn that lies across the end of one is a window of its own, so no window's own turns
+exceed a stride but a single longer turn. Each window retains the conversation's opening system turn, repeats those turns of
+the window before it that start within its last ``history`` tokens, and masks what is repeated: the loss covers the assistant
+texts of a window's own turns, so each text has loss once.
 
 A conversation is the unit of the digests, so its turns meet in one place; they are put in order by sorting that can spill.
 """
@@ -31,20 +33,25 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 128, conv: str
     """``conv, window, formatted, n_context, loss``: loss spans are (start, end) in code points, end exclusive; the first ``n_context`` turns are repeated ones.
 
     Null texts and roles count as empty. Turns are ordered by turn, then role, then text, nulls first; repeated rows are turns
-    of their own. A null conversation id is a conversation. A turn longer than the budget has a window of its own.
+    of their own. A null conversation id is a conversation. System turn, history and own turns keep the budget together; a turn
+    longer than what is left for it is alone in its window, with the system turn and without history, and only such a window
+    can exceed the budget.
     """
     rows = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     rows = rows.withColumn("body", F.expr(escaped("text"))).withColumn("name", F.expr(rf"replace({escaped('role')}, '\n', '\\n')"))
     rows = rows.withColumn("tokens", F.expr("(char_length(body) + 3) div 4 + 4"))
     rows = rows.withColumn("rn", F.row_number().over(order)).withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("before", F.coalesce("before", F.lit(0)).cast("long")).withColumn("window", F.expr(f"before div {budget}"))
-    opening = F.first(F.struct("role", "name", "body")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("opening", opening).withColumn("opens", F.coalesce(F.lag("window").over(order) != F.col("window"), F.lit(False)))
+    rows = rows.withColumn("before", F.coalesce("before", F.lit(0)).cast("long"))
+    opening = F.first(F.struct("role", "name", "body", "tokens")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("opening", opening)
+    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("opening.role") == "system", F.col("opening.tokens")).otherwise(0)).cast("long"))
+    rows = rows.withColumn("window", F.expr("2 * (before div stride) + if((before + tokens - 1) div stride > before div stride, 1, 0)")).withColumn("long", F.col("tokens") > F.col("stride"))
+    rows = rows.withColumn("opens", F.coalesce(F.lag("window").over(order) != F.col("window"), F.lit(False)))
     later = Window.partitionBy("conv").orderBy(F.desc("window")).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("next", F.min(F.struct("window", "before")).over(later))
+    rows = rows.withColumn("next", F.min(F.struct("window", "before", "long")).over(later))
     is_system = F.expr("rn = 1 and role = 'system'")
-    again = F.col("next").isNotNull() & (F.col("before") + F.col("tokens") > F.col("next.before") - history) & ~is_system
+    again = F.col("next").isNotNull() & (F.col("before") >= F.col("next.before") - history) & ~F.col("next.long") & ~is_system
     own = F.struct(F.col("window").alias("w"), F.lit(TARGET).alias("kind"), F.col("role"), F.col("name"), F.col("body"))
     repeated = F.struct(F.col("next.window").alias("w"), F.lit(HISTORY).alias("kind"), F.col("role"), F.col("name"), F.col("body"))
     system = F.struct(F.col("window").alias("w"), F.lit(SYSTEM).alias("kind"), F.col("opening.role"), F.col("opening.name"), F.col("opening.body"))

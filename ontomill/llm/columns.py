@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ontomill.plans.rounds import maybe_broadcast
+
 #: The packed row; a struct keeps columns of any name apart from the operators' own.
 ROW = "__row"
 
@@ -26,6 +28,21 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
+def without(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` but those marked (``id2, sha2, again``); where ``again`` holds, one of the repeated rows stays.
+
+    That is the one whose columns come first as JSON, so that a task that runs again chooses the same.
+    """
+    rows = packed(docs, id=F.col(f"`{id_col}`"), sha=F.sha2(text_of(text_col), 256))
+    on = F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2"))
+    out = unpacked(rows.join(maybe_broadcast(marked.select("id2", "sha2"), marked.count(), 160), on, "left_anti"))
+    again = marked.where("again").select("id2", "sha2")
+    if again.isEmpty():
+        return out
+    once = rows.join(again, on, "left_semi").groupBy("id", "sha").agg(F.min_by(ROW, F.to_json(ROW)).alias(ROW))
+    return out.unionByName(unpacked(once))
+
+
 def string_bytes(array: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each string of an Arrow array; null gives empty."""
     return [b"" if x is None else x for x in array.cast(pa.large_binary()).to_pylist()]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.llm.columns import ROW, packed, string_bytes, text_of, unpacked
+from ontomill.llm.columns import string_bytes, text_of, without
 from ontomill.plans.rounds import durable, maybe_broadcast
 from ontomill.plans.ship import arrow_rows
 
@@ -106,14 +106,6 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], "len", "h1", "h2", "s1", "s2"])
 
 
-def _differing(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Of (id, sha, text, representative's text), the rows whose texts differ, compared a chunk at a time up to the first difference."""
-    for batch in batches:
-        left, right = string_bytes(batch.column(2)), string_bytes(batch.column(3))
-        rows = [i for i, (a, b) in enumerate(zip(map(memoryview, left), map(memoryview, right), strict=True)) if len(a) != len(b) or any(a[k : k + chunk] != b[k : k + chunk] for k in range(0, len(a), chunk))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64()))], ["id", "sha"])
-
-
 def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE, key: tuple[Column, ...] | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id, keep_id, group_size, kept, sha``.
 
@@ -141,10 +133,11 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.select("id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "sha")
 
 
-def _mismatches(docs: DataFrame, p: DataFrame, groups: DataFrame, own: list[str], id_col: str, text_col: str, per_salt: int = 256) -> DataFrame:
+def _mismatches(docs: DataFrame, p: DataFrame, groups: DataFrame, own: list[str], id_col: str, text_col: str, per_salt: int = 256, chunk_bytes: int = CHUNK) -> DataFrame:
     """``id, sha`` of rows whose text differs from that of the row that stands for their group.
 
     A group is dealt over as many salts as it needs for ``per_salt`` rows each, and its representative goes to each of them.
+    Texts travel and are compared in chunks: a chunk meets its representative's chunk of the same place, however long the text.
     """
     salts = F.ceil(F.col("n") / per_salt).cast("int")
     members = p.join(groups, own).select("id", "sha", "tag", *own, salts.alias("salts"), F.col("top").alias("top"))
@@ -153,13 +146,15 @@ def _mismatches(docs: DataFrame, p: DataFrame, groups: DataFrame, own: list[str]
     wanted = members.select(F.col("id").alias("id2"), F.col("sha").alias("sha2")).distinct()
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
     on = F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2"))
-    texts = texts.join(maybe_broadcast(wanted, rows, 160), on, "left_semi")
-    texts = texts.dropDuplicates(["id", "sha"]) if _repeats(members) else texts
-    cand = members.join(texts.withColumnsRenamed({"id": "id2", "sha": "sha2"}), on).drop("id2", "sha2")
-    rep = cand.where("first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*own, "salt", F.col("t").alias("rep"))
-    pairs = cand.where("not first").select("id", "sha", *own, "salt", "t").join(rep, [*own, "salt"]).select("id", "sha", "t", "rep")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_rows(pairs, _differing, f"id {kind}, sha string")
+    texts = texts.join(maybe_broadcast(wanted, rows, 160), on, "left_semi").withColumn("b", F.col("t").cast("binary"))
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length("b") - 1, F.lit(0)), F.lit(chunk_bytes))
+    chunks = texts.select("id", "sha", "b", F.octet_length("b").alias("n"), F.explode(starts).alias("at"))
+    chunks = chunks.select("id", "sha", "n", "at", F.expr(f"substring(b, at + 1, {chunk_bytes})").alias("part"))
+    chunks = chunks.dropDuplicates(["id", "sha", "at"]) if _repeats(members) else chunks
+    cand = members.join(chunks.withColumnsRenamed({"id": "id2", "sha": "sha2"}), on).drop("id2", "sha2")
+    rep = cand.where("first").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*own, "salt", "at", F.col("n").alias("rep_n"), F.col("part").alias("rep"))
+    pairs = cand.where("not first").select("id", "sha", *own, "salt", "at", "n", "part").join(rep, [*own, "salt", "at"], "left")
+    return pairs.where("rep is null or n <> rep_n or part <> rep").select("id", "sha").distinct()
 
 
 def _repeats(members: DataFrame) -> bool:
@@ -168,16 +163,12 @@ def _repeats(members: DataFrame) -> bool:
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge_bytes: int = HUGE) -> DataFrame:
-    """The rows of ``docs``, one of each class of equal texts (the largest id), with their columns as they were."""
+    """The rows of ``docs``, one of each class of equal texts (the largest id), with their columns as they were.
+
+    Of repeated rows with that id and text the one whose columns come first as JSON stays.
+    """
     classes = durable(duplicate_classes(docs, id_col, text_col, huge_bytes))
     # a key that is both kept and dropped is a repeated row: one of its rows stays
     gone = classes.groupBy("id", "sha").agg(F.max("kept").alias("stays"), F.min("kept").alias("all_stay")).where("not all_stay")
-    gone = durable(gone.select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), "stays"))
-    rows = packed(docs, id=F.col(f"`{id_col}`"), sha=F.sha2(text_of(text_col), 256))
-    on = F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2"))
-    out = unpacked(rows.join(maybe_broadcast(gone, gone.count(), 160), on, "left_anti"))
-    again = gone.where("stays")
-    if again.isEmpty():
-        return out
-    once = rows.join(again, on, "left_semi").groupBy("id", "sha").agg(F.first(ROW).alias(ROW))
-    return out.unionByName(unpacked(once))
+    gone = durable(gone.select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), F.col("stays").alias("again")))
+    return without(docs, gone, id_col, text_col)

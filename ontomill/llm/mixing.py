@@ -3,12 +3,13 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. A document of ``t`` tokens and posterior
 ``p`` adds ``r * t * p`` to the domains' expected totals at rate ``r``. Rates start at one and follow scaled, projected
 gradient steps of the least squares between totals and targets, ``r <- max(0, r - p . L)``, where ``L`` solves the normal
-equations of the documents whose rate is above zero. Only ``L``, of one number a domain, passes between rounds: a document's
+equations of the documents whose rate is above zero (or is the plain gradient where that leads away). Only ``L``, of one number a domain, passes between rounds: a document's
 rate is replayed from the rounds' ``L``, so there is no table of rates to hold, join or send.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,10 +27,10 @@ BUCKETS = 1 << 13
 
 
 def word_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hash buckets of a text's words and word ends, how often each occurs, and the number of words."""
+    """Hash buckets of a text's words and word ends, the damped number of times (``log(1 + n)``) that each occurs, and the number of words."""
     words = data.lower().split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int64), np.zeros(0), 0
     distinct: dict[bytes, int] = {}
     for w in words:
         distinct[w] = distinct.get(w, 0) + 1
@@ -37,7 +38,7 @@ def word_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     n = len(distinct)
     at = np.fromiter((crc(w) for w in distinct), np.int64, n)
     ends = np.fromiter((crc(w[-2:], 1) for w in distinct), np.int64, n)
-    times = np.fromiter(distinct.values(), np.int64, n)
+    times = np.log1p(np.fromiter(distinct.values(), np.float64, n))
     return np.concatenate([at % BUCKETS, BUCKETS + ends % BUCKETS]), np.concatenate([times, times]), len(words)
 
 
@@ -72,13 +73,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
             for domain, data in zip(batch.column(0).to_pylist(), string_bytes(batch.column(1)), strict=True):
                 k = domains.index(domain)
                 at, times, _ = word_counts(data)
-                np.add.at(sums[k], at, np.minimum(times, 10))
+                np.add.at(sums[k], at, times)
                 seen[k] += 1
         for k in range(len(domains)):
             at = np.flatnonzero(sums[k])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, k, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(sums[k][at], seen[k]))], ["k", "at", "n"])
 
-    table, prior = np.full((len(domains), 2 * BUCKETS), 0.5), np.full(len(domains), 1.0)
+    table, prior = np.full((len(domains), 2 * BUCKETS), 0.1), np.full(len(domains), 1.0)
     for k, at, n in arrow_rows(rows, counts, "k int, at int, n double").groupBy("k", "at").agg(F.sum("n")).collect():
         if at < 0:
             prior[k] += n
@@ -110,10 +111,13 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...], total: float | None = None, rounds: int = 40, tolerance: float = 1e-7) -> tuple[list[np.ndarray], dict]:
+def fit_rates(members: DataFrame, weights: tuple[float, ...], total: float | None = None, rounds: int = 60, tolerance: float = 1e-7) -> tuple[list[np.ndarray], dict]:
     """Steps that bring the domains' expected totals to ``weights`` times ``total``, and what was reached.
 
-    ``total`` defaults to the tokens that there are. An unreachable target leaves the nearest totals.
+    ``total`` defaults to the tokens that there are. A step solves the normal equations of the documents whose rate is above
+    zero; where that doesn't bring the totals nearer, it is taken back and a plain projected-gradient step, which can't lead
+    away from the nearest totals, is taken instead (a longer one while that gains more). ``met`` in the report says whether the target was reached; if it was not
+    (an unreachable target, or ``rounds`` too few) a warning is given too and the totals are the nearest that were found.
     """
     k = len(weights)
     weights = np.array(weights) / np.sum(weights)
@@ -136,13 +140,30 @@ def fit_rates(members: DataFrame, weights: tuple[float, ...], total: float | Non
 
     reached, normal = sums([])
     goal = weights * (reached.sum() if total is None else total)
-    natural, steps, n = reached, [], 0
-    while n < rounds and np.abs(reached - goal).max() > tolerance * max(goal.sum(), 1):
-        ridge = 1e-12 * max(np.trace(normal), 1e-12)
-        steps.append(np.linalg.solve(normal + ridge * np.eye(k), reached - goal))
-        reached, normal = sums(steps)
+    natural, steps, n, close = reached, [], 0, tolerance * max(weights.sum() if total is None else total, reached.sum(), 1)
+    best = np.linalg.norm(reached - goal)
+    least = 1 / max(np.linalg.eigvalsh(normal).max(), 1e-12)  # what the curvature of all documents allows
+    rate = None
+    while n < rounds and np.abs(reached - goal).max() > close:
         n += 1
-    return steps, {"natural": natural, "goal": goal, "reached": reached, "rounds": n}
+        ridge = 1e-12 * max(np.trace(normal), 1e-12)
+        step = np.linalg.solve(normal + ridge * np.eye(k), reached - goal) if rate is None else rate * (reached - goal)
+        then, normal_then = sums([*steps, step])
+        off = np.linalg.norm(then - goal)
+        if np.isfinite(off) and off < best * (1 - 1e-6):
+            steps.append(step)
+            reached, normal, best = then, normal_then, off
+            rate = None if rate is None else 4 * rate
+        elif rate is None:
+            rate = 16 * least
+        elif rate > least:
+            rate = max(rate / 4, least)
+        else:
+            break  # the plain step gains nothing more: these are the nearest totals
+    met = bool(np.abs(reached - goal).max() <= close)
+    if not met:
+        warnings.warn(f"the domains' totals are {reached.tolist()}, not {goal.tolist()}, after {n} rounds", stacklevel=2)
+    return steps, {"natural": natural, "goal": goal, "reached": reached, "rounds": n, "met": met}
 
 
 def keep_all_total(members: DataFrame, weights: tuple[float, ...]) -> float:

@@ -78,13 +78,14 @@ SQL_OP8 = f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{FORGED}' UNION ALL SELECT -1, 1, 'assistant', '{FORGED}'),
 e AS (SELECT *, length(replace(replace(text, '\\', '\\s'), '<|', '\\l')) AS n_body, length(replace(replace(replace(role, '\\', '\\s'), '<|', '\\l'), chr(10), '\\n')) AS n_name FROM c),
-o AS (SELECT *, row_number() OVER w AS rn, (n_body + 3) // 4 + 4 AS tokens, n_body + n_name + 24 AS marked, first_value(role) OVER w AS role1, first_value(n_body + n_name + 24) OVER w AS marked1 FROM e
+o AS (SELECT *, row_number() OVER w AS rn, (n_body + 3) // 4 + 4 AS tokens, n_body + n_name + 24 AS marked, first_value(role) OVER w AS role1, first_value(n_body + n_name + 24) OVER w AS marked1, first_value((n_body + 3) // 4 + 4) OVER w AS tokens1 FROM e
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM o),
-s AS (SELECT *, before // {BUDGET} AS win FROM b),
-starts AS (SELECT conv_id, win, min(before) AS opens, row_number() OVER (PARTITION BY conv_id ORDER BY win) AS k FROM s GROUP BY conv_id, win),
+st AS (SELECT *, greatest(1, {BUDGET - HISTORY} - CASE WHEN role1 = 'system' THEN tokens1 ELSE 0 END) AS stride FROM b),
+s AS (SELECT *, 2 * (before // stride) + CASE WHEN (before + tokens - 1) // stride > before // stride THEN 1 ELSE 0 END AS win, tokens > stride AS long FROM st),
+starts AS (SELECT conv_id, win, min(before) AS opens, bool_or(long) AS long, row_number() OVER (PARTITION BY conv_id ORDER BY win) AS k FROM s GROUP BY conv_id, win),
 h AS (SELECT s.conv_id, sum(marked) AS n FROM s JOIN starts a ON s.conv_id IS NOT DISTINCT FROM a.conv_id AND s.win = a.win JOIN starts z ON z.conv_id IS NOT DISTINCT FROM a.conv_id AND z.k = a.k + 1
-  WHERE before + tokens > z.opens - {HISTORY} AND NOT (rn = 1 AND role = 'system') GROUP BY s.conv_id),
+  WHERE before >= z.opens - {HISTORY} AND NOT z.long AND NOT (rn = 1 AND role = 'system') GROUP BY s.conv_id),
 n AS (SELECT conv_id, count(*) - 1 AS more FROM starts GROUP BY conv_id),
 g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY rn)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY rn) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -13,6 +13,8 @@ more than ``per_anchor`` fingerprints is dealt over the pairs of its salts.
 
 from __future__ import annotations
 
+import string
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontomill.llm.columns import packed, string_bytes, text_of, unpacked, uint64_to_signed
-from ontomill.plans.graph import connected_components
+from ontomill.llm.columns import string_bytes, text_of, uint64_to_signed, without
+from ontomill.plans.graph import connected_components, stars
 from ontomill.plans.rounds import durable, maybe_broadcast
 from ontomill.plans.ship import arrow_rows
 
@@ -38,8 +40,15 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Bytes of a text whose shingles are hashed at a time.
 PIECE = 1 << 20
-#: Words of a shingle in the comparison of whole texts.
+#: Words of a shingle in the comparison of whole texts, and the Jaccard similarity from which texts are near copies.
 SHINGLE = 5
+SIMILARITY = 0.8
+#: Seeds of a text's word prints, the bits in which one of them may differ, and those in which all may differ together.
+SEEDS = (42, 43, 44)
+NEAR = 4
+WHOLE = 20
+#: ASCII punctuation, which parts words as white space does in the word prints.
+BREAKS = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 
 
 def _pieces(data: bytes) -> Iterator[list[bytes]]:
@@ -246,18 +255,24 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, small: int = 12)
         yield links(*held)
 
 
+def _dealt(cells: DataFrame, kept: list[str], salted_by: list[str], per_anchor: int) -> DataFrame:
+    """``cell, part`` and the kept columns, sorted: a cell of more than ``per_anchor`` rows is dealt over the pairs of its salts."""
+    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > per_anchor).select(F.col("cell").alias("cell2"), F.ceil(F.col("n") / per_anchor).cast("int").alias("salts"))
+    crowded = durable(crowded)  # at most one cell for each ``per_anchor`` rows
+    joined = cells.join(maybe_broadcast(crowded, crowded.count(), 32), F.col("cell") == F.col("cell2"), "left").drop("cell2")
+    salt = F.pmod(F.xxhash64(*salted_by, F.lit(7)), F.col("salts")).cast("int")
+    other = F.when(F.col("salts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    dealt = joined.select("cell", *kept, salt.alias("s"), F.explode(other).alias("o"))
+    part = F.when(F.col("s").isNull(), 0).otherwise(F.least("s", "o").cast("long") * (1 << 31) + F.greatest("s", "o"))
+    return dealt.select("cell", part.cast("long").alias("part"), *kept).repartition("cell", "part").sortWithinPartitions("cell", "part")
+
+
 def links(distinct: DataFrame, threshold: int = THRESHOLD, per_anchor: int = 2048) -> DataFrame:
     """``a, b`` for links that hold all pairs of distinct fingerprints (column ``fp``) at ``threshold`` or fewer bits together."""
     if threshold > MOST:
         raise ValueError(f"the blocks are laid out for at most {MOST} differing bits")
     cells = arrow_rows(distinct.select("fp"), lambda it: _replicate(it, threshold), "cell long, fp long")
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > per_anchor).select(F.col("cell").alias("cell2"), F.ceil(F.col("n") / per_anchor).cast("int").alias("salts"))
-    joined = cells.join(crowded, F.col("cell") == F.col("cell2"), "left").drop("cell2")
-    salt = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("salts")).cast("int")
-    other = F.when(F.col("salts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    dealt = joined.select("cell", "fp", salt.alias("s"), F.explode(other).alias("o"))
-    part = F.when(F.col("s").isNull(), 0).otherwise(F.least("s", "o").cast("long") * (1 << 31) + F.greatest("s", "o"))
-    dealt = dealt.select("cell", part.cast("long").alias("part"), "fp").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    dealt = _dealt(cells, ["fp"], ["fp"], per_anchor)
     return arrow_rows(dealt, lambda it: _compare(it, threshold), "a long, b long")
 
 
@@ -271,13 +286,32 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _classes(p: DataFrame, threshold: int, per_anchor: int = 2048) -> DataFrame:
-    """The rows of ``p`` (``id, fp`` and others) with their ``component_id``."""
+    """The rows of ``p`` (``id, fp`` and others) with their ``root`` and ``component_id``."""
     distinct = durable(p.groupBy("fp").agg(F.min("id").alias("least")))
     roots = connected_components(links(distinct, threshold, per_anchor), "a", "b")
     of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of = durable(of)
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return p.join(of.join(least, "root").select("fp", "component_id"), "fp").select(*p.columns, "component_id")
+    least = of.where("root <> fp").groupBy("root").agg(F.min("least").alias("other"))
+    own = of.where("root = fp").select("root", "least")
+    least = own.join(least, "root", "left").select("root", F.coalesce(F.least("least", "other"), "least", "other").alias("component_id"))
+    of = spread_join(of, durable(least), "root", "fp").select("fp", "root", "component_id")
+    return p.join(of, "fp").select(*p.columns, "root", "component_id")
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, other: str | None = None, how: str = "inner", row_bytes: int = 64, ways: int = 16) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key (named ``other`` there, if not alike).
+
+    A ``right`` of bounded size is broadcast; else rows of one key are dealt over ``ways`` tasks by column ``by`` of ``left``.
+    """
+    small = maybe_broadcast(right, n := right.count(), row_bytes)
+    on = key if other is None else F.col(key) == F.col(other)
+    if small is not right or not n:
+        return left.join(small, on, how)
+    left = left.withColumn("__way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    every = right.withColumn("__way2", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    if other is None:
+        return left.join(every.withColumnRenamed("__way2", "__way"), [key, "__way"], how).drop("__way")
+    return left.join(every, on & (F.col("__way") == F.col("__way2")), how).drop("__way", "__way2")
 
 
 def _keyed_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -287,6 +321,133 @@ def _keyed_prints(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
     return arrow_rows(rows, lambda it: _hash_rows(it, size), f"id {kind}, sha string, fp long")
 
 
+def word_prints(data: bytes, seeds: tuple[int, ...] = SEEDS) -> list[int]:
+    """Fingerprints of a text's words, one a seed; a word weighs the root of its count, so that no frequent word decides a bit.
+
+    Words are runs between ASCII white space and punctuation, A-Z lower-cased; a text of none has fingerprints zero.
+    """
+    counts = Counter(data.lower().translate(BREAKS).split())
+    if not counts:
+        return [0] * len(seeds)
+    weights = np.rint(1024 * np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))).astype(np.int64)
+    digest, words, total, out = xxhash.xxh64_intdigest, list(counts), int(weights.sum()), []
+    for seed in seeds:
+        h = np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
+        set_in = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            bits = np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_in += weights[at : at + (1 << 14)] @ bits
+        out.append(sum(1 << b for b in np.flatnonzero(2 * set_in > total).tolist()))
+    return out
+
+
+def _word_print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column holds texts; it is replaced by their word prints."""
+    for batch in batches:
+        found = np.array([word_prints(x) for x in string_bytes(batch.column(batch.num_columns - 1))], np.uint64).reshape(-1, len(SEEDS))
+        own = [pa.array(uint64_to_signed(found[:, k])) for k in range(len(SEEDS))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], [*batch.schema.names[:-1], *(f"fp{k}" for k in range(len(SEEDS)))])
+
+
+def _word_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, sha, fp0, fp1 ...`` of every row, of its words."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).select("id", F.sha2("t", 256).alias("sha"), "t")
+    return arrow_rows(rows, _word_print_rows, f"id {kind}, sha string, " + ", ".join(f"fp{k} long" for k in range(len(SEEDS))))
+
+
+def near_prints(x: np.ndarray, y: np.ndarray, threshold: int, whole: int) -> np.ndarray:
+    """Which rows of fingerprints (one column a seed) are near: one differs in ``threshold`` bits or fewer, all in ``whole`` or fewer."""
+    d = np.bitwise_count(x ^ y)
+    return (d.min(-1) <= threshold) & (d.sum(-1, dtype=np.int64) <= whole)
+
+
+def _replicate_labelled(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Of (label, fingerprints), a row for each anchor of each fingerprint."""
+    for batch in batches:
+        label, *prints = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+        for at in range(0, len(label), 2048):
+            for k, f in enumerate(prints):
+                rows, keys = anchors(f[at : at + 2048].view(np.uint64), threshold)
+                rows = rows + at
+                yield pa.RecordBatch.from_arrays([pa.array(keys | k << 48), pa.array(label[rows]), *(pa.array(g[rows]) for g in prints)], ["cell", *batch.schema.names])
+
+
+def _label_links(label: np.ndarray, prints: np.ndarray, threshold: int, whole: int) -> list[tuple[int, int]]:
+    """Pairs of labels that hold those of an anchor together whose fingerprints are near; equal labels need no pair."""
+    found, rest = [], np.arange(len(label))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            same = label[rest] == label[x]
+            near = ~same & near_prints(prints[rest], prints[x], threshold, whole)
+            found += [(int(label[x]), y) for y in set(label[rest[near]].tolist())]
+            queue.extend(rest[same | near])
+            rest = rest[~(same | near)]
+    return found
+
+
+def _compare_labelled(batches: Iterator[pa.RecordBatch], threshold: int, whole: int, small: int = 12) -> Iterator[pa.RecordBatch]:
+    """Links of labels of rows (cell, part, label, fingerprints) that come sorted by cell and part, each link once a batch."""
+
+    def links(c: np.ndarray, p: np.ndarray, label: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+        new = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (p[1:] != p[:-1]))))
+        sizes = np.diff(np.append(new, len(c)))
+        group = np.repeat(np.arange(len(new)), sizes)
+        few, found = sizes[group] <= small, [np.zeros((0, 2), np.int64)]
+        for shift in range(1, min(small, int(sizes.max(initial=0)))):
+            at = np.flatnonzero((group[shift:] == group[:-shift]) & few[shift:] & (label[shift:] != label[:-shift]))
+            at = at[near_prints(f[at + shift], f[at], threshold, whole)]
+            found.append(np.stack([label[at], label[at + shift]], 1))
+        for k in np.flatnonzero(sizes > small):
+            own = slice(new[k], new[k] + sizes[k])
+            found.append(np.array(_label_links(label[own], f[own], threshold, whole), np.int64).reshape(-1, 2))
+        pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        c, p, label, *f = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
+        f = np.stack(f, 1).view(np.uint64)
+        if held:
+            c, p, label, f = (np.concatenate([x, y]) for x, y in zip(held, (c, p, label, f), strict=True))
+        if not len(c):
+            continue
+        last = int(np.flatnonzero((c != c[-1]) | (p != p[-1]))[-1]) + 1 if (c[0], p[0]) != (c[-1], p[-1]) else 0
+        if last:
+            yield links(c[:last], p[:last], label[:last], f[:last])
+        held = c[last:], p[last:], label[last:], f[last:]
+    if held:
+        yield links(*held)
+
+
+def label_links(nodes: DataFrame, prints: list[str], threshold: int, whole: int, reach: int, per_anchor: int = 2048) -> DataFrame:
+    """``a, b``: labels of ``nodes`` (``label`` and fingerprints) that links hold together, found at the anchors within ``reach``.
+
+    With ``reach`` as the threshold every near pair of nodes meets at some anchor. A group that has one label already passes on nothing.
+    """
+    kinds = "cell long, label long, " + ", ".join(f"{f} long" for f in prints)
+    cells = arrow_rows(nodes.select("label", *prints), lambda it: _replicate_labelled(it, reach), kinds)
+    dealt = _dealt(cells, ["label", *prints], prints, per_anchor)
+    return arrow_rows(dealt, lambda it: _compare_labelled(it, threshold, whole), "a long, b long")
+
+
+def candidate_components(p: DataFrame, prints: list[str], threshold: int, whole: int) -> DataFrame:
+    """Distinct fingerprints of ``p``, how many rows have them (``n``), and the component (``root``) that near fingerprints link them to.
+
+    In two rounds: at the nearest anchors alone, which joins much of a large group, then at all of them, where only links between
+    what the first round left apart are passed on. Every near pair meets in the second round, so none is lost by the first.
+    """
+    nodes = durable(p.groupBy(*prints).agg(F.count("*").alias("n")).withColumn("label", F.monotonically_increasing_id()))
+    # the first round only has to join many: nodes that are linked to the same node take its label, without rounds of components
+    nearest = stars(label_links(nodes, prints, threshold, whole, 0), "a", "b")
+    moved = spread_join(nodes, nearest, "label", prints[0], "u", "left")
+    nodes = durable(moved.select(*prints, "n", F.coalesce("v", "label").alias("label")))
+    found = connected_components(label_links(nodes, prints, threshold, whole, threshold), "a", "b")
+    return durable(spread_join(nodes, found, "label", prints[0], "node", "left").select(*prints, "n", F.coalesce("root", "label").alias("root")))
+
+
 def shingle_set(data: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles, words as in ``simhash``; a text of fewer words has one, the whole, of none, none."""
     found, tail, short = [], [], True
@@ -327,29 +488,32 @@ def _similar(x: np.ndarray, others: list[np.ndarray], similarity: float) -> np.n
     return out
 
 
-def _verified(fps: np.ndarray, sets: list[np.ndarray], threshold: int, similarity: float) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the pairs near in fingerprint whose sets are similar: only a verified link takes a text off the rest."""
+def _verified(label: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], threshold: int, whole: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of labels that verified links hold together: near in fingerprint, their sets similar; equal labels need no link."""
     sizes = np.array([len(x) for x in sets])
     rest = np.arange(len(fps))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            able = similarity * np.maximum(sizes[rest], sizes[x]) <= np.minimum(sizes[rest], sizes[x]) + 1e-9
-            hit = np.flatnonzero(able & _near(fps[rest], fps[x], threshold))
+            taken = label[rest] == label[x]
+            able = ~taken & (similarity * np.maximum(sizes[rest], sizes[x]) <= np.minimum(sizes[rest], sizes[x]) + 1e-9)
+            hit = np.flatnonzero(able & near_prints(fps[rest], fps[x], threshold, whole))
             hit = hit[_similar(sets[x], [sets[k] for k in rest[hit]], similarity)]
-            yield from ((int(x), int(k)) for k in rest[hit])
-            queue.extend(rest[hit])
-            rest = np.delete(rest, hit)
+            yield from {(int(label[x]), int(label[k])) for k in rest[hit]}
+            taken[hit] = True
+            queue.extend(rest[taken])
+            rest = rest[~taken]
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Links of rows (root, part, sha, fp, s) that come sorted by root and part."""
+def _verify(batches: Iterator[pa.RecordBatch], threshold: int, whole: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of labels of rows (root, part, label, s, fingerprints) that come sorted by root and part."""
 
     def found(rows: list) -> pa.RecordBatch:
-        fps = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        pairs = list(_verified(fps, [np.frombuffer(r[2], np.uint64) for r in rows], threshold, similarity))
-        return pa.RecordBatch.from_arrays([pa.array([rows[p[i]][0] for p in pairs], pa.string()) for i in (0, 1)], ["a", "b"])
+        label = np.array([r[0] for r in rows], np.int64)
+        fps = np.array([r[2:] for r in rows], np.int64).view(np.uint64)
+        pairs = list(_verified(label, fps, [np.frombuffer(r[1], np.uint64) for r in rows], threshold, whole, similarity))
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     key, held = None, []
     for batch in batches:
@@ -363,44 +527,95 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: int, similarity: float
         yield found(held)
 
 
-def _verified_classes(docs: DataFrame, p: DataFrame, text_col: str, threshold: int, similarity: float, per_block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
-    """``id, sha, component_id`` of the rows of ``p`` (``id, sha, fp``) that share a component of fingerprints with another row.
+def _verified_classes(docs: DataFrame, p: DataFrame, text_col: str, prints: list[str], threshold: int, whole: int, similarity: float, per_block: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
+    """``id, sha, root`` of the rows of ``p`` (``id, sha`` and fingerprints) that share a component of fingerprints with another row.
 
     Components of fingerprints are only where links are looked for: every pair in one of them that is near in fingerprint is
     compared by its texts' shingles, also where the fingerprints are equal, and the component is that of the verified links.
-    A large component is cut into blocks, and each pair of blocks meets in one task.
+    A large component is cut into blocks. Texts are first compared within their block; then blocks of texts that this left apart
+    meet each other and the blocks of the component's largest class, whose own blocks needn't meet again.
     """
-    distinct = durable(p.groupBy("fp").agg(F.count("*").alias("n")))
-    roots = connected_components(links(distinct, threshold), "a", "b")
-    of = durable(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root")))
-    shared = of.groupBy("root").agg(F.sum("n").alias("m")).where("m > 1").select("root")
-    members = durable(p.join(of.select("fp", "root").join(shared, "root"), "fp").select("id", "sha", "fp", "root"))
-    wanted = members.select(F.col("sha").alias("sha2"), "fp", "root").distinct()
+    of = candidate_components(p, prints, threshold, whole)
+    shared = durable(of.groupBy("root").agg(F.sum("n").alias("m")).where("m > 1").select("root"))
+    of = durable(spread_join(of, shared, "root", prints[0]).select(*prints, "root"))
+    members = durable(p.join(of, prints).select("id", "sha", *prints, "root"))
+    wanted = members.select(F.col("sha").alias("sha2"), *prints, "root").distinct()
     texts = docs.select(text_of(text_col).alias("t")).withColumn("sha", F.sha2("t", 256))
-    texts = texts.join(maybe_broadcast(wanted, members.count(), 160), F.col("sha") == F.col("sha2")).select("root", "sha", "fp", "t")
-    sets = durable(arrow_rows(texts, _set_rows, "root long, sha string, fp long, s binary").dropDuplicates(["sha"]))
-    blocks = F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum(F.octet_length("s").cast("long")) / block_bytes)).cast("int")
-    sizes = sets.groupBy("root").agg(F.count("*").alias("m"), blocks.alias("blocks")).where("m > 1").select(F.col("root").alias("root2"), "blocks")
-    joined = sets.join(sizes, F.col("root") == F.col("root2")).drop("root2").withColumn("x", F.pmod(F.xxhash64("sha"), F.col("blocks")).cast("int"))
-    dealt = joined.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = F.least("x", "y").cast("long") * (1 << 31) + F.greatest("x", "y")
-    dealt = dealt.select("root", part.alias("part"), "sha", "fp", "s").repartition("root", "part").sortWithinPartitions("root", "part")
-    found = connected_components(arrow_rows(dealt, lambda it: _verify(it, threshold, similarity), "a string, b string"), "a", "b")
-    of = durable(members.select("id", "sha").join(found.withColumnRenamed("root", "top"), F.col("sha") == F.col("node"), "left").select("id", "sha", F.coalesce("top", "sha").alias("top")))
-    return of.join(of.groupBy("top").agg(F.min("id").alias("component_id")), "top").select("id", "sha", "component_id")
+    texts = texts.join(maybe_broadcast(wanted, members.count(), 200), F.col("sha") == F.col("sha2")).select("root", "sha", *prints, "t")
+    kinds = "root long, sha string, " + ", ".join(f"{f} long" for f in prints)
+    sets = arrow_rows(texts, _set_rows, f"{kinds}, s binary").dropDuplicates(["sha"])
+    sets = durable(sets.withColumn("label", F.monotonically_increasing_id()))
+    kept = ["root", "label", "s", *prints]
+    count = F.greatest(F.ceil(F.count("*") / per_block), F.ceil(F.sum(F.octet_length("s").cast("long")) / block_bytes)).cast("int")
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        rows = dealt.select("root", "part", *kept[1:]).repartition("root", "part").sortWithinPartitions("root", "part")
+        return connected_components(arrow_rows(rows, lambda it: _verify(it, threshold, whole, similarity), "a long, b long"), "a", "b")
+
+    sizes = durable(sets.groupBy("root").agg(F.count("*").alias("m"), count.alias("blocks")).where("m > 1").select("root", "blocks"))
+    first = spread_join(sets, sizes, "root", "sha").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("blocks")).cast("long"))
+    found = links_of(first)
+    sets = _relabelled(sets, found)
+    large = sizes.where("blocks > 1").select("root")
+    sets = durable(sets)
+    if not large.isEmpty():
+        rows = spread_join(sets, large, "root", "sha")
+        classes = rows.groupBy("root", "label").agg(F.count("*").alias("c"))
+        most = durable(classes.groupBy("root").agg(F.max(F.struct("c", "label")).alias("most")).select("root", F.col("most.label").alias("main")))
+        rows = spread_join(rows, most, "root", "sha").withColumn("pure", F.col("label") == F.col("main"))
+        counts = rows.groupBy("root", "pure").agg(count.alias("blocks")).groupBy("root").agg(F.max(F.when(F.col("pure"), F.col("blocks"))).alias("pures"), F.max(F.when(~F.col("pure"), F.col("blocks"))).alias("mixed"))
+        rows = spread_join(rows, durable(counts.where("mixed > 0")), "root", "sha")
+        x = F.pmod(F.xxhash64("sha", F.lit(3)), F.when(F.col("pure"), F.col("pures")).otherwise(F.col("mixed")))
+        rows = rows.withColumn("x", x.cast("long")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mixed").cast("long") - 1)))
+        between = F.least("x", "y") * (1 << 31) + F.greatest("x", "y")
+        across = F.lit(1 << 62) + F.col("y") * (1 << 31) + F.col("x")
+        others = rows.where(~F.col("pure"))
+        # a mixed block meets every mixed block, and every block of the largest class
+        meet = others.where("y = 0").withColumn("z", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pures").cast("long") - 1)))
+        meet = meet.withColumn("part", F.lit(1 << 62) + F.col("x") * (1 << 31) + F.col("z"))
+        dealt = others.withColumn("part", between).select("part", *kept)
+        dealt = dealt.unionByName(meet.select("part", *kept)).unionByName(rows.where("pure").withColumn("part", across).select("part", *kept))
+        sets = _relabelled(sets, links_of(dealt))
+    tops = sets.select(F.col("sha").alias("sha2"), F.col("label").alias("root"))
+    return members.select("id", "sha").join(tops, F.col("sha") == F.col("sha2")).select("id", "sha", "root")
+
+
+def _relabelled(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """``sets`` with each label replaced by the least of its component."""
+    found = found.select("node", F.col("root").alias("top"))
+    rows = spread_join(sets, found, "label", "sha", "node", "left")
+    return rows.withColumn("label", F.coalesce("top", "label")).drop("node", "top")
+
+
+def _one_of_each(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, of each class (``id, sha, root``) only the one with the least id (null last), then the least sha."""
+    classes = durable(classes.groupBy("id", "sha").agg(F.min("root").alias("root"), F.count("*").alias("rows")))
+    keep = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sha")).alias("keep"), F.sum("rows").alias("m")).where("m > 1")
+    marked = spread_join(classes, durable(keep), "root", "sha")
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("sha") == F.col("keep.sha"))
+    marked = durable(marked.select(F.col("id").alias("id2"), F.col("sha").alias("sha2"), stays.alias("stays"), (stays & (F.col("rows") > 1)).alias("again")).where("not stays or again"))
+    return without(docs, marked, id_col, text_col)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, size: int = 3, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs``, one of each component (its least id), with their columns as they were.
+    """The rows of ``docs``, one of each component (its least id, null last, then the least SHA-256), with their columns as they were.
 
     With ``similarity``, a link holds only if the texts' shingles of ``SHINGLE`` words have that Jaccard similarity or more.
 
-    Rows that share that id all stay; run exact deduplication first if ids repeat. Rows go by id and text, so a null id, or one
-    that stands on several texts, goes only where its own text is a near copy.
+    Rows go by id and text, so a null id, or one that stands on several texts, goes only where its own text is a near copy; of
+    repeated rows (id and text alike) one stays, the one whose columns come first as JSON. Null text counts as empty, and an empty table gives an empty one.
     """
     p = durable(_keyed_prints(docs, id_col, text_col, size))
-    classes = durable(_classes(p, threshold) if similarity is None else _verified_classes(docs, p, text_col, threshold, similarity))
-    gone = classes.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("id2"), F.col("sha").alias("sha2")).distinct()
-    rows = packed(docs, id=F.col(f"`{id_col}`"), sha=F.sha2(text_of(text_col), 256))
-    gone = maybe_broadcast(gone, gone.count(), 160)
-    return unpacked(rows.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("sha") == F.col("sha2")), "left_anti"))
+    classes = _classes(p, threshold) if similarity is None else _verified_classes(docs, p, text_col, ["fp"], threshold, threshold, similarity)
+    return _one_of_each(docs, classes.select("id", "sha", "root"), id_col, text_col)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, threshold: int = NEAR, whole: int = WHOLE) -> DataFrame:
+    """The rows of ``docs``, one of each component of near copies, as ``drop_near_duplicates`` chooses it.
+
+    Candidates are texts of which one of the word prints differs in ``threshold`` bits or fewer and all of them in ``whole`` or
+    fewer together; a link holds if the whole texts' shingles of ``SHINGLE`` words have that Jaccard similarity or more.
+    """
+    p = durable(_word_keyed(docs, id_col, text_col))
+    prints = [f"fp{k}" for k in range(len(SEEDS))]
+    return _one_of_each(docs, _verified_classes(docs, p, text_col, prints, threshold, whole, similarity), id_col, text_col)

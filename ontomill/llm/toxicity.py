@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.llm.columns import crc32_hex_mod4, text_of
+from ontomill.plans.rounds import durable
 from ontomill.plans.ship import arrow_rows
 
 # Characters that look like Latin letters, and signs that stand for letters inside words.
@@ -41,7 +42,8 @@ _TOKEN = re.compile(r"[\w@$!]+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Letters of word starts that may become entries.
 PREFIXES = (3, 4, 5, 6, 7)
-ENTRY_LETTERS = 24
+#: Different surroundings that an entry needs, and toxic documents, at least and as a share of those labelled so.
+VARIED, SUPPORT, SUPPORT_SHARE = 6, 4, 0.015
 #: Entries of a partial count that are held before they are passed on.
 HELD = 200_000
 
@@ -63,10 +65,29 @@ def fold(text: str) -> str:
     return _TOKEN.sub(_letters, s) if _SIGN.search(s) else s
 
 
+def other_readings(text: str) -> str:
+    """Tokens whose closing signs, or few letters, leave them as they are in ``fold``, with every substitution undone.
+
+    ``dumba$$`` may be a word that ends in signs or a word in disguise; a lexicon is asked about both.
+    """
+    s = text.lower()
+    if not s.isascii():
+        s = s.translate(_TABLE)
+    if not _SIGN.search(s):
+        return ""
+    out = []
+    for token in _TOKEN.findall(s):
+        if _SIGN.search(token) and any(map(str.isalpha, token)):
+            whole = token.translate(_SIGNS)
+            if whole != _TOKEN.sub(_letters, token) and whole.isalpha():
+                out.append(whole)
+    return " ".join(out)
+
+
 def terms_of(word: str) -> list[str]:
     """Entries that could stand for a word: its starts, and the whole word marked with a closing ``$``."""
     out = [word[:k] for k in PREFIXES if len(word) > k]
-    if 3 <= len(word) <= ENTRY_LETTERS:
+    if len(word) >= 3:
         out.append(word + "$")
     return out
 
@@ -99,6 +120,9 @@ def features(text: str, automaton) -> tuple[float, float]:
     s = fold(text)
     if not s or not len(automaton):
         return 0.0, 0.0
+    words = 1 + s.count(" ") + s.count("\n")
+    if more := other_readings(text):
+        s += "\n" + more
     best: dict[int, tuple[float, int]] = {}
     spared: list[tuple[int, int]] = []
     for end, (n, start_w, whole_w, exception) in automaton.iter(s):
@@ -116,7 +140,6 @@ def features(text: str, automaton) -> tuple[float, float]:
     total = sum(w for at, (w, end) in best.items() if not any(a <= at and end <= b for a, b in spared))
     if not total:
         return 0.0, 0.0
-    words = 1 + s.count(" ") + s.count("\n")
     return total / (1 + math.log1p(words)), math.log1p(100 * total / words)
 
 
@@ -155,8 +178,8 @@ def labelled_sample(labels: DataFrame, max_train: int, id_col: str = "doc_id", l
     return picked, counts.get(1, 0), counts.get(0, 0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = 20_000, max_terms: int = 20_000, min_precision: float = 0.8) -> Lexicon:
-    """A lexicon from labelled documents; the sample is bounded by ``max_train`` rows, the candidate entries by ``max_terms``.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = 20_000, min_precision: float = 0.8) -> Lexicon:
+    """A lexicon from labelled documents; the sample is bounded by ``max_train`` rows, and by it the candidate entries.
 
     An entry needs support in toxic documents, and in varied surroundings: the words before it must differ, so that the words
     of a copied passage don't count as evidence. Of entries of which one starts the other, the one with more support times
@@ -167,11 +190,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n_pos or not n_neg:
         return Lexicon(seeds)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("t")).join(F.broadcast(sample), "id").select("y", "t")
-    support = max(4, round(0.015 * n_pos))
-    varied = 4 if n_pos < 400 else 8
+    texts = durable(texts)  # bounded by the sample, and read four times
+    support = max(SUPPORT, round(SUPPORT_SHARE * n_pos))
     counted = arrow_rows(texts.where("y = 1").select("t"), _count_terms, "term string, n long, around long")
-    pos = counted.groupBy("term").agg(F.sum("n").alias("n"), F.bit_or("around").alias("around")).where((F.col("n") >= support) & (F.bit_count("around") >= varied))
-    pos = {r.term: r.n for r in pos.select("term", "n").orderBy(F.desc("n"), "term").limit(max_terms).collect()}
+    pos = counted.groupBy("term").agg(F.sum("n").alias("n"), F.bit_or("around").alias("around")).where((F.col("n") >= support) & (F.bit_count("around") >= VARIED))
+    pos = {r.term: r.n for r in pos.select("term", "n").collect()}
     wanted = frozenset(pos) | frozenset(seeds)
     neg = arrow_rows(texts.where("y = 0").select("t"), lambda it: _count_wanted(it, wanted), "term string, n long")
     neg = dict(neg.groupBy("term").agg(F.sum("n")).collect())

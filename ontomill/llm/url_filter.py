@@ -69,7 +69,7 @@ class Cascade:
 def build(listed: DataFrame, universe: DataFrame, max_levels: int = 64) -> Cascade:
     """A cascade of the keys of ``listed`` that is exact over ``universe`` (both: column ``key``, any multiplicity).
 
-    The list is bounded by ``MAX_BITS``; the universe isn't. Null keys are left out. An empty list gives an empty cascade.
+    The list is bounded by ``MAX_BITS`` (``listed_among`` has no such bound); the universe isn't. Null keys are left out. An empty list gives an empty cascade.
     """
     listed = durable(listed.where("key is not null").select("key").distinct())
     universe = durable(universe.where("key is not null").select("key").distinct())
@@ -118,26 +118,68 @@ def keys(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.range(1).select(F.explode(listed).alias("key"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: list[str], url_col: str = "url") -> DataFrame:
+def _tagged(kind: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(kind), k))
+
+
+def _ways(n: int, max_bits: int) -> int:
+    """Parts by hash that a list of ``n`` keys needs so that no level of a part is over ``max_bits``."""
+    return max(1, math.ceil(64 * n / max_bits))
+
+
+def listed_among(listed: DataFrame, universe: DataFrame, ways: int) -> DataFrame:
+    """``key``: those of ``universe`` that are listed, by a cascade for each of ``ways`` parts of the keys by hash, one after another."""
+    part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(ways))
+    listed, universe = durable(listed.where("key is not null").distinct()), durable(universe.where("key is not null").distinct())
+    found = None
+    for k in range(ways):
+        own = universe.where(part == k)
+        hits = durable(own.where(build(listed.where(part == k), own).holds(F.col("key"))))
+        found = hits if found is None else found.unionAll(hits)
+    return found
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: list[str] | DataFrame, url_col: str = "url", max_bits: int = MAX_BITS) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``, columns of these names replaced.
 
     ``rules`` are (action, host, path); a rule fits its host and all subdomains if the path starts with its own, and the
-    longest wins. Where none fits, a URL is blocked if its host or a parent domain is one of ``blocked_hosts``, else allowed.
-    Null and relative URLs have empty host and path and are allowed. An empty table gives an empty result.
+    longest wins. Where none fits, a URL is blocked if its host or a parent domain is one of ``blocked_hosts`` (a list, or a table
+    with column ``key``), else allowed. Null and relative URLs have empty host and path and are allowed. An empty table gives an
+    empty result.
+
+    Rules and hosts are listed together, each key marked with its list, in one cascade. Where the list is too long for a
+    cascade of ``max_bits`` a level, its keys are split by hash, each part has a cascade over its own part of the universe, and
+    the keys found are joined back to hosts and paths; the result is the same.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.withColumns({"host": host, "path": path})
     lengths = tuple(sorted({len(p) for _, _, p in rules}))
+    marked = keys(spark, [("b" if a == "block" else "a") + h + p for a, h, p in rules])
+    hosts = blocked_hosts.select("key") if isinstance(blocked_hosts, DataFrame) else keys(spark, blocked_hosts)
+    listed = durable(marked.unionAll(hosts.select(F.concat(F.lit("h"), "key"))).where("key is not null").distinct())
+    of_url, of_host = candidates(F.col("host"), F.col("path"), lengths), candidates(F.col("host"), F.lit(""), (0,))
+    every = F.concat(_tagged("b", of_url), _tagged("a", of_url), _tagged("h", of_host))
     seen = rows.select("host", "path").distinct()
-    universe = durable(seen.select(F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("key")).distinct())
-    domains = seen.select("host").distinct().select(F.explode(candidates(F.col("host"), F.lit(""), (0,))).alias("key")).distinct()
-    blocking = build(keys(spark, [h + p for a, h, p in rules if a == "block"]), universe)
-    allowing = build(keys(spark, [h + p for a, h, p in rules if a != "block"]), universe)
-    spam = build(keys(spark, blocked_hosts), domains)
-    found = F.filter(candidates(F.col("host"), F.col("path"), lengths), lambda k: blocking.holds(k) | allowing.holds(k))
-    longest = F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))).getField("key")
-    rows = rows.withColumn("rule", longest)
-    known = F.exists(candidates(F.col("host"), F.lit(""), (0,)), spam.holds)
-    verdict = F.when(F.col("rule").isNull(), F.when(known, "block").otherwise("allow")).when(blocking.holds(F.col("rule")), "block").otherwise("allow")
-    return rows.withColumn("verdict", verdict)
+    ways = _ways(listed.count(), max_bits)
+    if ways == 1:
+        cascade = build(listed, seen.select(F.explode(every).alias("key")).distinct())
+        blocking = lambda k: cascade.holds(F.concat(F.lit("b"), k))
+        found = F.filter(of_url, lambda k: blocking(k) | cascade.holds(F.concat(F.lit("a"), k)))
+        longest = F.array_max(F.transform(found, lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))).getField("key")
+        rows = rows.withColumn("rule", longest)
+        known, blocked = F.exists(_tagged("h", of_host), cascade.holds), blocking(F.col("rule"))
+        return rows.withColumn("verdict", _verdict(F.col("rule"), blocked, known))
+    seen = durable(seen)
+    asked = seen.select("host", "path", F.explode(every).alias("key"))
+    hit = asked.join(listed_among(listed, asked.select("key"), ways), "key", "left_semi")
+    kind, name = F.substring("key", 1, 1), F.expr("substring(key, 2)")
+    best = F.max(F.when(kind != "h", F.struct(F.length(name).alias("n"), name.alias("rule"), (kind == "b").alias("blocked"))))
+    judged = hit.groupBy("host", "path").agg(best.alias("best"), F.max(kind == "h").alias("known"))
+    judged = judged.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.rule").alias("__rule"), _verdict(F.col("best.rule"), F.col("best.blocked"), F.col("known")).alias("__verdict"))
+    rows = rows.join(judged, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    return rows.withColumns({"rule": F.col("__rule"), "verdict": F.coalesce("__verdict", F.lit("allow"))}).drop("__host", "__path", "__rule", "__verdict")
+
+
+def _verdict(rule: Column, blocked: Column, known: Column) -> Column:
+    return F.when(rule.isNull(), F.when(known, "block").otherwise("allow")).when(blocked, "block").otherwise("allow")

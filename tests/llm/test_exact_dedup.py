@@ -77,3 +77,20 @@ def test_hot_group_and_empty(spark):
 def test_powers():
     assert X.powers(3, 7, 5).tolist() == [pow(3, k, 7) for k in range(4, -1, -1)]
     assert X.chunk_print(np.array([1], np.uint8), X._tables()) == (2, 2)
+
+
+def test_repeated_rows_keep_the_same_one(spark):
+    """Of rows alike in id and text the one that stays doesn't hang on their order."""
+    rows = [(5, "same", x) for x in "dbca"] + [(5, "other", "z"), (None, "null id", "q"), (None, "null id", "p")]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(parts, "extra")
+        assert sorted((str(r.doc_id), r.text, r.extra) for r in X.drop_duplicates(df).collect()) == [("5", "other", "z"), ("5", "same", "a"), ("None", "null id", "p")]
+
+
+def test_huge_equal_and_differing_texts(spark):
+    """Texts of many chunks are compared chunk by chunk: a difference in the last byte, or one more byte, is found."""
+    long = "abcdefgh" * 40_000
+    rows = [(1, long), (2, long), (3, long[:-1] + "x"), (4, long + "y"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(X.duplicate_classes(df, key=(F.lit(0),))) == brute(rows)
+    assert got(X.duplicate_classes(df, huge_bytes=1000)) == brute(rows)

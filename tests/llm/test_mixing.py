@@ -1,4 +1,9 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 
 from ontomill.llm import mixing as M
 from ontomill.llm import registry
@@ -62,3 +67,69 @@ def test_mixed_and_awkward(spark):
     good = [i for i in p if p[i] > 0.9]
     assert sum(i in ids for i in good) > 0.97 * len(good)
     assert 0 < kept.count() < docs.count()
+
+
+def nearest(t, p, goal, rounds=200_000):
+    """Non-negative least squares of the totals by many small projected gradient steps."""
+    r, a = np.ones(len(t)), p * t[:, None]
+    step = 1 / np.linalg.eigvalsh(a.T @ p).max()
+    for _ in range(rounds):
+        r = np.maximum(0, r - step * p @ (a.T @ r - goal))
+    return a.T @ r
+
+
+def test_unreachable_totals_are_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    for k, weights in ((2, (0.95, 0.05)), (3, (0.9, 0.02, 0.08))):
+        p = rng.dirichlet(np.full(k, 4.0), 60)
+        t = rng.integers(1, 300, 60).astype(float)
+        df = spark.createDataFrame([(i, int(n), q.tolist()) for i, (n, q) in enumerate(zip(t, p, strict=True))], "id long, n_tokens long, p array<double>")
+        with pytest.warns(UserWarning, match="totals"):
+            _, said = M.fit_rates(df, weights, rounds=80)
+        want = nearest(t, p, said["goal"], 20_000)
+        assert not said["met"]
+        off, least = np.linalg.norm(said["reached"] - said["goal"]), np.linalg.norm(want - said["goal"])
+        assert off <= 1.05 * least + 1e-6 * t.sum()
+
+
+def test_query_equals_brute_force(spark):
+    """The registered query: posteriors by a plain naive Bayes, rates that bring the totals to the shares."""
+    out = {r.doc_id: r for r in registry.op5_mixing(spark, SF).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    y = {r.id: r.domain for r in labelled(spark).collect()}
+    counts, prior = np.full((3, 2 * M.BUCKETS), 0.1), np.ones(3)
+    features = {i: Counter(t.lower().encode().split()) if t.isascii() else Counter("".join(c.lower() if c.isascii() else c for c in t).encode().split()) for i, t in docs.items()}
+    places = {i: [(zlib.crc32(w) % M.BUCKETS, M.BUCKETS + zlib.crc32(w[-2:], 1) % M.BUCKETS, math.log1p(n)) for w, n in c.items()] for i, c in features.items()}
+    for i, domain in y.items():
+        k = registry.DOMAINS.index(domain)
+        prior[k] += 1
+        for a, b, n in places[i]:
+            counts[k, a] += n
+            counts[k, b] += n
+    table = np.log(counts / np.repeat(np.stack([counts[:, : M.BUCKETS].sum(1), counts[:, M.BUCKETS :].sum(1)], 1), M.BUCKETS, axis=1))
+    assert set(out) == set(docs)
+    for i in sorted(docs)[::5]:
+        n = sum(features[i].values())
+        z = np.log(prior / prior.sum()) + sum(((table[:, a] + table[:, b]) * w for a, b, w in places[i]), np.zeros(3)) / math.sqrt(max(n, 1))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert np.allclose([out[i][f"p_{d}"] for d in registry.DOMAINS], p, atol=2e-6) and out[i].n_tokens == n
+    totals = sum(r.n_tokens * r.rate * np.array([r[f"p_{d}"] for d in registry.DOMAINS]) for r in out.values())
+    assert np.abs(totals / totals.sum() - np.array(registry.SHARES)).max() < 1e-4
+
+
+def test_posteriors_rank_held_out_rows(spark):
+    """On rows that it wasn't fitted on, posteriors rank toxic before other rows, and poor before good ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    y = registry.labelled_domains(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    model = M.fit_domains(docs, y.where("id % 2 = 0"), registry.DOMAINS)
+    rows = M.memberships(docs, model).join(y.where("id % 2 = 1"), "id").select("domain", "p").collect()
+    p, domain = np.array([r.p for r in rows]), np.array([r.domain for r in rows])
+
+    def auc(score, y):
+        ranks = score.argsort().argsort()
+        return (ranks[y].mean() - (y.sum() - 1) / 2) / (~y).sum()
+
+    clean = domain != "toxic"
+    assert auc(p[:, 2], ~clean) > 0.75
+    assert auc(p[clean, 1] / (p[clean, 0] + p[clean, 1]), domain[clean] == "poor") > 0.95

@@ -82,3 +82,32 @@ def test_chat_awkward(spark, tmp_path):
     assert all(r.formatted.startswith("<|im_start|>system\n") for r in one)
     assert sum(len(r.loss) for r in w) == sum(t[2] == "assistant" for t in TURNS)
     assert chat.digests(chat.windows(df.limit(0))).count() == 0
+
+
+def test_windows_keep_the_budget(spark):
+    """System turn, history and own turns together; only a single turn longer than what is left may exceed it."""
+    conversations = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    df = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").unionByName(conversations)
+    cost = lambda marked: (len(marked.split("\n", 1)[1]) + 3) // 4 + 4
+    for budget, history in ((1024, 128), (128, 32), (20, 8)):
+        over = split = 0
+        for r in chat.windows(df, budget, history).collect():
+            turns = r.formatted.split("<|im_end|>\n")[:-1]
+            costs = [cost(t) for t in turns]
+            system = costs[0] if turns[0].startswith("<|im_start|>system\n") else 0
+            if sum(costs) > budget:
+                over += 1
+                assert len(turns) - r.n_context == 1 and costs[-1] > budget - history - system and r.n_context <= 1
+            split += r.n_context > 0
+        assert split > 5 and (budget > 20 or over > 0)
+
+
+def test_long_lists_are_split(spark, tmp_path):
+    """A list too long for one cascade is split by hash of the key; nothing else changes."""
+    df = spark.createDataFrame([(i, u, "") for i, u in enumerate(URLS)] + [(None, "http://example.org/fr/", None)] * 2, "page_id long, url string, html string").unionByName(spark.read.parquet(f"{SF}/pages.parquet"))
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = rows_of(U.judge(df, Q.RULES, Q.BLOCKED_HOSTS).select(*columns))
+    assert rows_of(U.judge(df, Q.RULES, Q.BLOCKED_HOSTS, max_bits=256).select(*columns)) == want
+    many = spark.range(3000).select(F.concat(F.lit("listed"), "id", F.lit(".example.org")).alias("key")).unionAll(U.keys(spark, Q.BLOCKED_HOSTS))
+    assert rows_of(U.judge(df, Q.RULES, many).select(*columns)) == want
+    assert U.judge(df.limit(0), Q.RULES, many, max_bits=64 * 64).count() == 0

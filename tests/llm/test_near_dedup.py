@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -213,3 +214,131 @@ def test_links_are_verified_on_the_texts(spark, monkeypatch):
     for per_block in (256, 4):
         monkeypatch.setattr(N._verified_classes, "__defaults__", (per_block, 8 << 20))
         assert {r.doc_id for r in N.drop_near_duplicates(df, threshold=6, size=0, similarity=0.8).collect()} == want
+
+
+def test_word_prints_equal_brute_force():
+    for text in ("", " .,", "b A a, c-B d. a", "x " * 5000 + "y"):
+        words = re.findall(r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+", text.lower())
+        counts = {w: words.count(w) for w in set(words)}
+        for seed, got in zip(N.SEEDS, N.word_prints(text.encode()), strict=True):
+            weight = {w: round(1024 * n**0.5) for w, n in counts.items()}
+            total = sum(weight.values())
+            hs = {w: xxhash.xxh64_intdigest(w.encode(), seed=seed) for w in weight}
+            assert got == sum(1 << b for b in range(64) if 2 * sum(weight[w] for w in weight if hs[w] >> b & 1) > total)
+
+
+def brute_near_copies(rows):
+    """Ids that stay of (id, text): the least of each component of verified links, over all pairs."""
+    prints = [N.word_prints((t or "").encode()) for _, t in rows]
+    sets = [five(t or "") for _, t in rows]
+    up = {k: k for k in range(len(rows))}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            bits = [(x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)]
+            if min(bits) <= N.NEAR and sum(bits) <= N.WHOLE and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                up[root(a)] = root(b)
+    least = {}
+    for k, (i, t) in enumerate(rows):
+        least.setdefault(root(k), []).append((i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest()))
+    return sorted(((None if none else i, sha) for none, i, sha in map(min, least.values())), key=str)
+
+
+def kept_keys(df):
+    return sorted(((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in df.collect()), key=str)
+
+
+def near_copy_rows():
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=5000))) for i in range(3)]
+    words = rng.sample(vocabulary, 200)
+    for i in range(10, 14):
+        rows.append((i, " ".join(words)))
+        rng.shuffle(words)
+    rows += [(20, "one two three four five six " + "six " * 60), (21, "six " + "five four three two one " * 40), (22, None), (23, ""), (24, " ."), (None, "one two three"), (None, "one two three"), (None, "another text"), (25, "one two three")]
+    for base in range(3):
+        own = list(words) if not base else rng.sample(vocabulary, 150)
+        for i in range(100 * base + 30, 100 * base + 60):
+            edited = list(own)
+            for at in rng.sample(range(len(own)), rng.randrange(1, 9)):
+                edited[at] = rng.choice(vocabulary)
+            rows.append((i, " ".join(edited)))
+    return rows
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    """Every pair compared: unrelated, reordered, edited, short, null and repeated texts; blocks of any size give the same."""
+    rows = near_copy_rows()
+    want = sorted(brute_near_copies(rows), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for per_block in (256, 5):
+        monkeypatch.setattr(N._verified_classes, "__defaults__", (per_block, 8 << 20))
+        assert kept_keys(N.drop_near_copies(df)) == want, per_block
+
+
+def test_labelled_links_pass_on_little_and_lose_none(spark):
+    """A large group that is one label emits nothing in the second round; components are those of all pairs."""
+    rng = random.Random(4)
+    values = set()
+    for _ in range(4):
+        base = [rng.getrandbits(64) for _ in range(3)]
+        for _ in range(150):
+            values.add(tuple(signed(f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([0, 1, 2, 3])))) for f in base))
+    values = sorted(values)
+    p = spark.createDataFrame(values, "fp0 long, fp1 long, fp2 long")
+    prints = ["fp0", "fp1", "fp2"]
+    got = {tuple(r[:3]): r.root for r in N.candidate_components(p, prints, 4, 20).select(*prints, "root").collect()}
+    a = np.array(values, np.int64).view(np.uint64)
+    up = list(range(len(a)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(a)):
+        for j in np.flatnonzero(N.near_prints(a[:i], a[i], 4, 20)):
+            up[root(i)] = root(int(j))
+    mine, theirs = {}, {}
+    for k, v in enumerate(values):
+        mine.setdefault(root(k), set()).add(v)
+        theirs.setdefault(got[v], set()).add(v)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+    one = spark.createDataFrame([(7, *v) for v in values], "label long, fp0 long, fp1 long, fp2 long")
+    assert N.label_links(one, prints, 4, 20, 4).count() == 0
+
+
+def test_most_edited_copies_are_found(spark):
+    """Of pairs of edited copies whose five-word shingles have a similarity of 0.8 or more, nine in ten at least are linked."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    rows, copies = [], 0
+    for k in range(150):
+        words = [vocabulary[int(3000 * rng.random() ** 2)] for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        for c in range(1, 4):
+            edited = list(words)
+            for at in rng.sample(range(300), 5):
+                edited[at] = rng.choice(vocabulary)
+            if len(five(" ".join(words)) & five(" ".join(edited))) >= 0.8 * len(five(" ".join(words)) | five(" ".join(edited))):
+                rows.append((10 * k + c, " ".join(edited)))
+                copies += 1
+    kept = {r.doc_id for r in N.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert copies > 300 and all(10 * k in kept for k in range(150))
+    assert len(kept) - 150 < 0.1 * copies
+
+
+def test_drop_near_copies_on_awkward_tables(spark):
+    df = awkward(spark)
+    out = N.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert kept_keys(out) == sorted(brute_near_copies(list(dict.fromkeys((i, t) for i, t, *_ in ROWS))), key=str)
+    assert N.drop_near_copies(empty(spark)).count() == 0
+    nulls = spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")
+    assert N.drop_near_copies(nulls).count() == 1

@@ -1,6 +1,10 @@
+import math
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from ontomill.llm import registry
 from ontomill.llm import toxicity as T
 from ontomill.llm.columns import crc32_hex_mod4
 from tests.llm.awkward import ROWS, awkward, empty
@@ -74,3 +78,45 @@ def test_awkward(spark):
 def test_long_tokens_take_linear_time():
     for text in ("x" * 300_000, "!" * 300_000, "a1" * 150_000, "idiot!" * 50_000):
         T.features(text, T.Lexicon({"idiot$": 3.0}).automaton())
+
+
+def test_other_readings():
+    """Words whose disguise ``fold`` leaves as it is are asked about in their other reading too."""
+    weights = {"dumbass$": 3.0, "idiot$": 3.0, "asshole$": 3.0, "worthless$": 3.0}
+    a = T.Lexicon(weights).automaton()
+    for text in ("a dumba$$ there", "worthle$$", "you 1d107", "4$$h0l3"):
+        assert T.features(text, a)[0] > 0, text
+    for text in ("it cost $5 in 1990", "mail@example", "what!", "a 42"):
+        assert T.features(text, a) == (0.0, 0.0), text
+
+
+def brute_score(text, model):
+    weights, total, s = model.weights, 0.0, T.fold(text)
+    words = 1 + s.count(" ") + s.count("\n")
+    more = T.other_readings(text)
+    total = brute_hits_of(s + ("\n" + more if more else ""), weights, model.exceptions)
+    f = (total / (1 + math.log1p(words)), math.log1p(100 * total / words)) if total and text else (0.0, 0.0)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * f[0] + model.curve[2] * f[1])))
+
+
+def brute_hits_of(folded, weights, exceptions):
+    fold, T.fold = T.fold, lambda s: s
+    try:
+        return brute_hits(folded, weights, exceptions)
+    finally:
+        T.fold = fold
+
+
+def test_query_equals_plain_search(spark):
+    """The registered query: every document once, held out by CRC-32, scores as by plain search, cut at 0.3."""
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = T.learn(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    out = {r.doc_id: r for r in registry.op1_toxicity(spark, small).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert set(out) == set(texts)
+    for i, t in texts.items():
+        assert out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert out[i].predicted == int(out[i].score >= 0.3)
+        if len(t) < 3000:
+            assert abs(out[i].score - brute_score(t, model)) < 1e-9, i
