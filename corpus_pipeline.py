@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.llm import bpe, exact_dedup, mixing, near_dedup, registry, toxicity
-from ontomill.plans.rounds import checkpoint_dir
+from ontomill.plans.rounds import checkpoint_dir, remove
 
 #: Domains that the mixing stage weighs (toxic documents are gone by then) and their shares of tokens.
 DOMAINS = ("good", "poor")
@@ -31,12 +31,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the least doc_id.
 
-    Fingerprints are of distinct words, linked at six bits. That takes in most pairs of documents whose five-word shingles
-    have a similarity of 0.8 or more; fingerprints of five-word shingles themselves differ in about nine bits there, out of
-    reach of any such threshold (see the README for the measured table). Fingerprints only find candidates: a link holds if the
-    whole texts' shingles have that similarity.
+    Fingerprints of five-word shingles differ in about nine bits at a similarity of 0.8, out of reach of a threshold of a few
+    bits. Fingerprints of words therefore find the candidates, three a text, and a link holds if the whole texts' five-word
+    shingles have a similarity of 0.8 or more.
     """
-    return near_dedup.drop_near_duplicates(docs, threshold=6, size=0, similarity=SIMILARITY)
+    return near_dedup.drop_near_copies(docs, similarity=SIMILARITY)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +57,17 @@ STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the documents stand as Parquet in the shared checkpoint folder."""
+    """All stages over ``documents``; between stages the documents stand as Parquet in the shared checkpoint folder until the next stage is written."""
     docs = registry.table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)  # its reader is done
+        before = at
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

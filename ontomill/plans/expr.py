@@ -46,6 +46,7 @@ class Prop:
 class Literal:
     lex: str
     datatype: str = XSD + "string"
+    lang: str | None = None
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,40 +14,57 @@ from ontomill.plans.rounds import durable
 from ontomill.plans.ship import arrow_rows
 
 
-#: Nodes of a task's trees that are held before they are passed on.
-HELD = 200_000
+#: Edges of a task that are contracted together.
+HELD = 500_000
+
+
+def least_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of each of ``n`` nodes' components: roots hook onto lesser roots, then paths are halved until flat."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if np.array_equal(low, high):
+            return label
+        np.minimum.at(label, high, low)
+        while not np.array_equal(up := label[label], label):
+            label = up
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of one task, replaced by a star from each node to the least node of its tree."""
-    up: dict = {}
-    kind = None
 
-    def root(x):  # noqa: ANN001, ANN202
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = y
-        return x
+    def contracted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        ends = pa.concat_arrays([c for k in (0, 1) for c in rows.column(k).chunks]).dictionary_encode()
+        order = pc.array_sort_indices(ends.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = rank[ends.indices.to_numpy()]
+        label = least_labels(at[: len(rows)], at[len(rows) :], len(order))
+        moved = np.flatnonzero(label != np.arange(len(order)))
+        nodes = ends.dictionary.take(pa.array(order))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(label[moved]))], ["u", "v"])
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD:
+            yield contracted(held)
+            held, rows = [], 0
+    if rows:
+        yield contracted(held)
 
-    def stars() -> pa.RecordBatch:
-        pairs = [(x, r) for x in list(up) if (r := root(x)) != x]
-        up.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["u", "v"])
 
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ra, rb = root(a), root(b)
-            if ra != rb:
-                lo, hi = (ra, rb) if ra < rb else (rb, ra)
-                up[hi] = lo
-                up.setdefault(lo, lo)
-                up.setdefault(a, root(a))
-                up.setdefault(b, root(b))
-        if len(up) > HELD:
-            yield stars()
-    if up:
-        yield stars()
+def stars(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``u, v``: nodes and a lesser node that each is connected to, the least that any task knew; not yet components.
+
+    One pass without rounds: each task contracts its own edges, and a node keeps the least of what its tasks found.
+    """
+    kind = edges.schema[a].dataType.simpleString()
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u is not null and v is not null and u <> v")
+    return durable(arrow_rows(pairs, _forest, f"u {kind}, v {kind}").groupBy("u").agg(F.min("v").alias("v")))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:

@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints: the session's ``spark.checkpoint.dir``, or the one that its context was given.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only a local session that names none (tests, a laptop) gets a temporary folder; a cluster's executors couldn't read it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ontomill-checkpoint-"))
     return named or context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of written tables whose readers are done, by the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)  # noqa: SLF001
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that a lost executor costs no recomputation of earlier rounds."""
     checkpoint_dir(df.sparkSession)
