@@ -89,7 +89,8 @@ class EmbeddingGraph(Graph):
     def edges(self, prop: Prop, subs: bool = True) -> list[Edges]:
         """All predicted links of a property: every individual is asked for its tails, in a join on blocks of the individuals.
 
-        Meant for graphs whose individuals are a stated query set; ``linked_to`` asks about few.
+        A block holds about ``PER_PASS`` heads however many there are, and each tail goes to each block. Meant for graphs whose
+        individuals are a stated query set; ``linked_to`` asks about few.
         """
         inds = self.universe()[self.KIND].keys()
         relation = self._vectors(self.relations, [prop.iri])
@@ -97,8 +98,9 @@ class EmbeddingGraph(Graph):
             return []
         heads = self.entities.join(inds, F.col("id") == F.col("k"), "left_semi")
         scaled = heads.select(F.col("id").alias("s"), F.zip_with("vec", _constant(relation[prop.iri]), lambda a, b: a * b).alias("q"))
-        blocks = scaled.groupBy((F.pmod(F.xxhash64("s"), F.lit(64))).alias("block")).agg(F.collect_list(F.struct("s", "q")).alias("qs"))
-        tails = heads.select(F.col("id").alias("o"), "vec").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
+        n = max(1, -(-inds.count() // PER_PASS))
+        blocks = scaled.groupBy((F.pmod(F.xxhash64("s"), F.lit(n))).alias("block")).agg(F.collect_list(F.struct("s", "q")).alias("qs"))
+        tails = heads.select(F.col("id").alias("o"), "vec").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
         pairs = tails.join(blocks, "block").select("o", "vec", F.explode("qs").alias("x"))
         links = pairs.where(1 / (1 + F.exp(-dot(F.col("vec"), F.col("x.q")))) >= self.gamma).select(F.col("x.s").alias("s"), "o")
         e = Edges(self.KIND, self.KIND, links, F.col("s"), F.col("o"), unique=True)

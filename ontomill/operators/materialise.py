@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from ontomill.plans import expr as E
 from ontomill.plans.graph import connected_components, transitive_closure
+from ontomill.operators.retrieval import Reasoner
 from ontomill.plans.rounds import durable
+from ontomill.operators.schema import Schema
+from ontomill.plans.syntax import parse_dl
 from ontomill.sources.graphs import TripleGraph
 
 TYPES, LINKS = ["cls", "ind"], ["p", "s", "o"]
@@ -27,7 +30,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
     """The graph with inferred class assertions, links, and same-as pairs.
 
-    Rules: subclasses, sub-properties, equivalences, inverses, symmetric and transitive properties, chains, domains and ranges,
+    Rules: subclasses (also of expressions that can only grow), sub-properties, equivalences, inverses, symmetric and transitive properties, chains, domains and ranges,
     functional and inverse functional properties (individuals become the same), and replacement of same individuals.
     """
     t = graph.tables
@@ -46,6 +49,8 @@ def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
     new_types = _union([new_types, data.join(dom, "p").select("cls", F.col("s").alias("ind"))])
     new_types = durable(new_types)
     types = new_types
+    chains, rules = [(r.p, list(r.chain)) for r in graph.table("prop_chain").collect()], complex_rules(graph)
+    known_same, first = -1, True
     for _ in range(max_rounds):
         found_types = [new_types.join(up_cls, new_types["cls"] == up_cls["sub"]).select(F.col("sup").alias("cls"), "ind")]
         found_types.append(new_links.join(dom, "p").select("cls", F.col("s").alias("ind")))
@@ -53,9 +58,13 @@ def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
         found_links = [new_links.join(up_prop, new_links["p"] == up_prop["sub"]).select(F.col("sup").alias("p"), "s", "o")]
         found_links.append(new_links.join(inv.withColumnRenamed("p", "of"), F.col("p") == F.col("of")).select(F.col("q").alias("p"), F.col("o").alias("s"), F.col("s").alias("o")))
         found_links += _transitive(new_links, links, marked("TransitiveProperty"))
-        found_links += _chains(graph, links)
-        same_now = durable(_union([same, *_functional(links, marked("FunctionalProperty"), "s", "o"), *_functional(links, marked("InverseFunctionalProperty"), "o", "s")]))
-        more_types, more_links, same = _replaced(types, links, same_now)
+        found_links += _chains(chains, new_links, links, first)
+        found_types += [known.select(F.lit(sup).alias("cls"), "ind") for sup, known in _complex(graph, rules, types, links, data)]
+        same_now = durable(_union([same, *_functional(links, new_links, marked("FunctionalProperty"), "s", "o"), *_functional(links, new_links, marked("InverseFunctionalProperty"), "o", "s")]))
+        now = same_now.count()
+        # statements are copied over the same individuals: what is new, or, when more have become the same, all
+        more_types, more_links, same = _replaced(*((types, links) if now != known_same else (new_types, new_links)), same_now)
+        known_same, first = now if same is same_now else same.count(), False
         new_types = durable(_union([*found_types, *more_types]).join(types, TYPES, "left_anti"))
         new_links = durable(_union([*found_links, *more_links]).join(links, LINKS, "left_anti"))
         if new_types.isEmpty() and new_links.isEmpty():
@@ -76,21 +85,60 @@ def _transitive(new: DataFrame, all_: DataFrame, props: DataFrame) -> list[DataF
     return [forward.select(*LINKS), backward.select(*LINKS)]
 
 
-def _chains(graph: TripleGraph, links: DataFrame) -> list[DataFrame]:
-    """Links that property chains give; the chains are schema, a join for each step of each."""
+def _chains(chains: list[tuple[str, list[str]]], new: DataFrame, links: DataFrame, first: bool) -> list[DataFrame]:
+    """Links that property chains give over at least one new link; the chains are schema, a join for each step of each.
+
+    A step may be an inverse property, marked with ``^``.
+    """
+    def step(table: DataFrame, q: str, i: int) -> DataFrame:
+        ends = ("o", "s") if q.startswith("^") else ("s", "o")
+        return table.where(F.col("p") == q.lstrip("^")).select(F.col(ends[0]).alias(f"n{i}"), F.col(ends[1]).alias(f"n{i + 1}"))
+
+    out = []
+    for p, chain in chains:
+        for fresh in range(1 if first else len(chain)):  # in the first round all links are new
+            path = None
+            for i, q in enumerate(chain):
+                part = step(new if i == fresh else links, q, i)
+                path = part if path is None else path.join(part, f"n{i}").select("n0", f"n{i + 1}").distinct()
+            out.append(path.select(F.lit(p).alias("p"), F.col("n0").alias("s"), F.col(f"n{len(chain)}").alias("o")))
+    return out
+
+
+def complex_rules(graph: TripleGraph) -> list[tuple[E.Node, str]]:
+    """(expression, class): stated axioms from which an expression's instances are in a named class.
+
+    Only expressions without complements, universals and upper bounds: what they hold of can only grow, so rounds of joins are sound.
+    """
     out = []
-    for row in graph.table("prop_chain").collect():
-        steps = [links.where(F.col("p") == q).select(F.col("s").alias(f"n{i}"), F.col("o").alias(f"n{i + 1}")) for i, q in enumerate(row.chain)]
-        path = steps[0]
-        for i, step in enumerate(steps[1:], 1):
-            path = path.join(step, f"n{i}").select("n0", f"n{i + 1}").distinct()
-        out.append(path.select(F.lit(row.p).alias("p"), F.col("n0").alias("s"), F.col(f"n{len(steps)}").alias("o")))
+    for r in graph.table("complex_axiom").where(F.col("kind").isin("SubClassOf", "EquivalentClasses")).collect():
+        parts = [parse_dl(x) for x in r.args]
+        pairs = [(parts[0], parts[1])] if r.kind == "SubClassOf" else [(a, b) for a in parts for b in parts if a is not b]
+        out += [(a, b.iri) for a, b in pairs if isinstance(b, E.Class) and not isinstance(a, E.Class) and grows(a)]
     return out
 
 
-def _functional(links: DataFrame, props: DataFrame, key: str, value: str) -> list[DataFrame]:
-    """Pairs of values that a functional property makes the same: each with the least of its key, so a key gives no square."""
-    own = links.join(props, F.col("p") == F.col("m"), "left_semi")
+def grows(c: E.Node) -> bool:
+    """Whether more statements can only give an expression more instances."""
+    if E.is_range(c):
+        return True
+    return not isinstance(c, E.Not | E.All) and not (isinstance(c, E.Card) and c.op != ">=") and all(map(grows, E.children(c)))
+
+
+def _complex(graph: TripleGraph, rules: list[tuple[E.Node, str]], types: DataFrame, links: DataFrame, data: DataFrame) -> list[tuple[str, DataFrame]]:
+    if not rules:
+        return []
+    r = Reasoner(graph.replaced(class_assertion=types, obj_assertion=links, data_assertion=data), subs=False)
+    return [(sup, r.instances(c)) for c, sup in rules]
+
+
+def _functional(links: DataFrame, new: DataFrame, props: DataFrame, key: str, value: str) -> list[DataFrame]:
+    """Pairs of values that a functional property makes the same: each with the least of its key, so a key gives no square.
+
+    Only keys that a new link touches are looked at.
+    """
+    touched = new.join(props, F.col("p") == F.col("m"), "left_semi").select("p", key).distinct()
+    own = links.join(touched, ["p", key], "left_semi")
     least = own.groupBy("p", F.col(key).alias("k")).agg(F.min(value).alias("a"), F.max(value).alias("z")).where("a <> z")
     pairs = own.join(least.withColumnRenamed("p", "lp"), (F.col("p") == F.col("lp")) & (F.col(key) == F.col("k"))).where(F.col(value) != F.col("a"))
     return [pairs.select("a", F.col(value).alias("b"))]
@@ -132,6 +180,42 @@ def inconsistencies(graph: TripleGraph) -> DataFrame:
     return _union([df.select(F.lit(rule).alias("rule"), F.col(c).alias("subject")) for rule, df, c in found])
 
 
+def is_entailed(graph: TripleGraph, a: E.Axiom) -> bool:
+    """Whether an axiom over names follows by the rules; an inconsistent graph entails everything."""
+    full = materialise(graph)
+    if not inconsistencies(full).isEmpty():
+        return True
+    name = lambda x: x if isinstance(x, str) else x.iri
+    if a.kind == "ClassAssertion":
+        ind = a.args[1]
+        return a.args[0] == E.THING or not Reasoner(full).among(a.args[0], graph.spark.createDataFrame([(ind,)], "ind string")).isEmpty()
+    if a.kind == "ObjectPropertyAssertion":
+        p, s, o = a.args
+        s, o = (o, s) if p.inverse else (s, o)
+        return not full.table("obj_assertion").where((F.col("p") == p.iri) & (F.col("s") == s) & (F.col("o") == o)).isEmpty()
+    if a.kind == "DataPropertyAssertion":
+        p, s, v = a.args
+        return not full.table("data_assertion").where((F.col("p") == name(p)) & (F.col("s") == s) & (F.col("lex") == v.lex) & (F.col("dt") == v.datatype)).isEmpty()
+    if a.kind in ("SubClassOf", "SubObjectPropertyOf", "SubDataPropertyOf"):
+        sub, sup = map(name, a.args)
+        if sub == sup or sup == E.THING.iri or sub == E.NOTHING.iri:
+            return True
+        edges = graph.closure("sub_class" if a.kind == "SubClassOf" else "sub_prop")
+        if not edges.where((F.col("sub") == sub) & (F.col("sup") == sup)).isEmpty():
+            return True
+        return a.kind == "SubClassOf" and not unsatisfiable_classes(graph).where(F.col("iri") == sub).isEmpty()
+    if a.kind in ("EquivalentClasses", "EquivalentObjectProperties", "EquivalentDataProperties"):
+        kind = {"C": "SubClassOf", "O": "SubObjectPropertyOf", "D": "SubDataPropertyOf"}[a.kind.removeprefix("Equivalent")[0]]
+        return all(is_entailed(graph, E.axiom(kind, x, y)) for x in a.args for y in a.args if x != y)
+    if a.kind == "DisjointClasses":
+        return all(not Schema(graph).disjoint_classes(name(x)).where(F.col("iri") == name(y)).isEmpty() for q in a.pairwise() for x, y in [q.args])
+    if a.kind in ("SameIndividual", "DifferentIndividuals"):
+        schema = Schema(full)
+        of = schema.same_individuals if a.kind[0] == "S" else schema.different_individuals
+        return all(q.args[0] == q.args[1] or not of(q.args[0]).where(F.col("iri") == q.args[1]).isEmpty() for q in a.pairwise())
+    raise ValueError(f"no rule decides {a.kind}")
+
+
 def is_consistent(graph: TripleGraph) -> bool:
     return inconsistencies(materialise(graph)).isEmpty()
 

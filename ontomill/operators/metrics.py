@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +28,17 @@ def agreement(predicted: DataFrame, wanted: DataFrame) -> DataFrame:
     return n.withColumns({"jaccard": jaccard, "f1": f1})
 
 
-def best(scored: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` rows of highest ``score``; ties by name."""
-    return scored.orderBy(F.desc("score"), "ind").limit(k)
+def agreement_table(spark: SparkSession, results: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """``kind, n, jaccard, f1``: how far two answers agree, on average over the expressions of each kind.
+
+    ``results`` are (kind of the expression, answer, wanted answer); each pair is one aggregate, and only its figures meet.
+    """
+    rows = [agreement(got, wanted).select(F.lit(kind).alias("kind"), "jaccard", "f1") for kind, got, wanted in results]
+    if not rows:
+        return spark.createDataFrame([], "kind string, n long, jaccard double, f1 double")
+    return reduce(DataFrame.unionAll, rows).groupBy("kind").agg(F.count("*").alias("n"), F.avg("jaccard").alias("jaccard"), F.avg("f1").alias("f1"))
+
+
+def best(scored: DataFrame, k: int = 10, order: Sequence[Column] = ()) -> DataFrame:
+    """The first ``k`` rows by ``order``; without one, those of highest ``score``, ties by name."""
+    return scored.orderBy(*(order or (F.desc("score"), F.col("ind")))).limit(k)

@@ -39,11 +39,16 @@ def rows_of(a: Axiom) -> list[tuple[str, tuple]]:
         return [("obj_assertion" if k[0] == "O" else "neg_obj_assertion", (_iri(p), s, o))]
     if k in ("DataPropertyAssertion", "NegativeDataPropertyAssertion"):
         value: Literal = x[2]
-        return [("data_assertion" if k[0] == "D" else "neg_data_assertion", (_iri(x[0]), x[1], value.lex, value.datatype))]
+        spoken = [("language", (_iri(x[0]), x[1], value.lex, value.lang))] if value.lang else []
+        return [("data_assertion" if k[0] == "D" else "neg_data_assertion", (_iri(x[0]), x[1], value.lex, value.datatype)), *spoken]
     if k == "AnnotationAssertion":
-        return [("annotation", (_iri(x[0]), _iri(x[1]), x[2].lex if isinstance(x[2], Literal) else _iri(x[2])))]
+        # a note is (subject, property, value)
+        value = x[2]
+        if not isinstance(value, Literal):
+            return [("iri_annotation", (_iri(x[0]), _iri(x[1]), _iri(value)))]
+        return [("annotation", (_iri(x[0]), _iri(x[1]), value.lex))] + ([("language", (_iri(x[1]), _iri(x[0]), value.lex, value.lang))] if value.lang else [])
     if k == "SubPropertyChainOf":
-        return [("prop_chain", (_iri(x[1]), [_iri(p) for p in x[0]]))]
+        return [("prop_chain", (_iri(x[1]), [("^" if isinstance(p, Prop) and p.inverse else "") + _iri(p) for p in x[0]]))]
     if k.endswith("ObjectProperty") and E.KINDS[k][1] == 1:
         return [("characteristic", (_iri(x[0]), k.removesuffix("ObjectProperty") + "Property"))]
     if k == "FunctionalDataProperty":
@@ -63,7 +68,7 @@ def rows_of(a: Axiom) -> list[tuple[str, tuple]]:
     # a conjunction on the right is its parts
     if k == "SubClassOf" and _named(x[0]) and isinstance(x[1], E.And):
         return [r for part in x[1].of for r in rows_of(Axiom(k, (x[0], part)))]
-    shown = [render_dl(y, lambda iri: f"<{iri}>") if isinstance(y, E.Node) else f"{'^' if isinstance(y, Prop) and y.inverse else ''}{_iri(y)}" for y in x]
+    shown = [render_dl(y, lambda iri: f"<{iri}>" if ":" in iri else iri) if isinstance(y, E.Node) else f"{'^' if isinstance(y, Prop) and y.inverse else ''}{_iri(y)}" for y in x]
     return [("complex_axiom", (k, shown))]
 
 

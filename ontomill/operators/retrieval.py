@@ -18,13 +18,14 @@ from ontomill.functions.literals import predicate
 from ontomill.plans import algebra
 from ontomill.plans import expr as E
 from ontomill.plans.expr import Node
+from ontomill.plans.rounds import durable
 from ontomill.sources.graphs import Data, Edges, Ext, Graph
 
 Sets = dict[str, Ext]
 
 
-def with_timeout(df: DataFrame, seconds: float) -> list:
-    """The rows of ``df``; its jobs are cancelled and TimeoutError is raised if they take longer."""
+def with_timeout(df: DataFrame, seconds: float) -> DataFrame:
+    """``df``, computed into the checkpoint folder; its jobs are cancelled and TimeoutError is raised if they take longer."""
     context, tag = df.sparkSession.sparkContext, f"ontomill-{uuid.uuid4().hex}"
     late = threading.Event()
 
@@ -36,7 +37,7 @@ def with_timeout(df: DataFrame, seconds: float) -> list:
     context.addJobTag(tag)
     timer.start()
     try:
-        return df.collect()
+        return durable(df)
     except Exception as e:
         if late.is_set():
             raise TimeoutError(f"not answered within {seconds} s") from e
@@ -89,7 +90,13 @@ class Reasoner:
         if isinstance(c, E.Not):
             return self.minus(self.graph.universe(), self.sets(c.of)) if self.closed else {}
         if isinstance(c, E.And):
-            return reduce(self.both, self.cheap_first([self.sets(x) for x in c.of]))
+            # what leaves out few (complements, universals, upper bounds) is taken off the other conjuncts, without the universe
+            lean = {x: gone for x in c.of if (gone := self.left_out(x)) is not None}
+            rest = [x for x in c.of if x not in lean]
+            if not rest:
+                rest, lean = [c.of[0]], {x: lean[x] for x in c.of[1:]}
+            start = reduce(self.both, self.cheap_first([self.sets(x) for x in rest]))
+            return reduce(self.minus, lean.values(), start)
         if isinstance(c, E.Or):
             return reduce(self.either, [self.sets(x) for x in c.of])
         if isinstance(c, E.HasSelf):
@@ -98,6 +105,19 @@ class Reasoner:
             return self.on_data(c) if E.is_range(c.filler) else self.on_objects(c)
         raise TypeError(f"not a class expression: {c}")
 
+    def left_out(self, c: Node) -> Sets | None:
+        """The individuals that aren't in ``c``, if ``c`` is the universe without them; else None."""
+        if isinstance(c, E.Not) and self.closed:
+            return self.sets(c.of)
+        if isinstance(c, E.All):
+            if E.is_range(c.filler):
+                return self.having(self.graph.data(c.prop.iri, self.subs), E.Not(c.filler))
+            filler = {} if c.filler == E.THING else self.sets(c.filler)
+            return self.gathered([(e.s_kind, self.failing(e, filler).select(e.s.alias("k"))) for e in self.graph.edges(c.prop, self.subs)] if c.filler != E.THING else [])
+        if isinstance(c, E.Card) and c.op == "<=":
+            return self.sets(E.Card(">=", c.n + 1, c.prop, c.filler))
+        return None
+
     @staticmethod
     def cheap_first(sets: list[Sets]) -> list[Sets]:
         """Sets that are plain filters before those that hold joins."""

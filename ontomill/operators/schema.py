@@ -81,20 +81,41 @@ class Schema:
         self.graph = graph
 
     def classes(self) -> DataFrame:
-        """``iri``: declared classes and those that occur in assertions and axioms."""
+        """``iri``: declared classes and those that occur in assertions and axioms of any kind."""
         t = self.graph.tables
-        found = [t["entity"].where("kind = 'Class'").select("iri"), t["class_assertion"].select("cls"), t["sub_class"].select("sub"), t["sub_class"].select("sup")]
+        found = [t["entity"].where("kind = 'Class'").select("iri"), t["class_assertion"].select("cls"), t["sub_class"].select("sub"), t["sub_class"].select("sup"), t["domain"].select("cls")]
+        found += [t[n].select(c) for n in ("equivalent_class", "disjoint_class") for c in ("a", "b")]
+        found.append(t["range"].join(self._data_properties().withColumnRenamed("iri", "p"), "p", "left_anti").select("cls"))
         return reduce(DataFrame.unionAll, found).where("iri is not null").distinct()
 
+    def _data_properties(self) -> DataFrame:
+        """``iri``: properties with values or declared for them, and what stands below, above or beside one in an axiom."""
+        t = self.graph.tables
+        own = t["entity"].where("kind = 'DatatypeProperty'").select("iri").unionAll(t["data_assertion"].select("p")).unionAll(t["neg_data_assertion"].select("p")).where("iri is not null").distinct()
+        return self._with_kin(own)
+
+    def _with_kin(self, own: DataFrame) -> DataFrame:
+        """Names and those that hierarchy, equivalence and disjointness axioms of properties connect to them: a kind is shared."""
+        t = self.graph.tables
+        edges = t["sub_prop"].select(F.col("sub").alias("a"), F.col("sup").alias("b")).unionAll(t["equivalent_prop"]).unionAll(t["disjoint_prop"])
+        parts = connected_components(edges, "a", "b")
+        roots = parts.join(own, F.col("node") == F.col("iri"), "left_semi").select(F.col("root").alias("r")).distinct()
+        return own.unionAll(parts.join(roots, F.col("root") == F.col("r"), "left_semi").select("node")).distinct()
+
     def properties(self, kind: str | None = None) -> DataFrame:
-        """``iri``: object properties, data properties, or both."""
+        """``iri``: object properties, data properties, or both, whether declared, asserted or only spoken of in axioms.
+
+        A property of which nothing says that it is a data property is an object property.
+        """
+        data = self._data_properties()
+        if kind == "data":
+            return data
         t = self.graph.tables
-        found = []
-        if kind in (None, "object"):
-            found += [t["entity"].where("kind = 'ObjectProperty'").select("iri"), t["obj_assertion"].select("p")]
-        if kind in (None, "data"):
-            found += [t["entity"].where("kind = 'DatatypeProperty'").select("iri"), t["data_assertion"].select("p")]
-        return reduce(DataFrame.unionAll, found).where("iri is not null").distinct()
+        found = [t["entity"].where("kind = 'ObjectProperty'").select("iri"), t["obj_assertion"].select("p"), t["neg_obj_assertion"].select("p"), t["sub_prop"].select("sub"), t["sub_prop"].select("sup"), t["inverse_prop"].select("p"), t["inverse_prop"].select("q")]
+        found += [t["domain"].select("p"), t["range"].select("p"), t["characteristic"].select("p"), t["prop_chain"].select("p"), t["prop_chain"].select(F.explode("chain"))]
+        found += [t[n].select(c) for n in ("equivalent_prop", "disjoint_prop") for c in ("a", "b")]
+        every = reduce(DataFrame.unionAll, found).where("iri is not null").distinct()
+        return every.join(data, "iri", "left_anti") if kind == "object" else every.unionAll(data).distinct()
 
     def signature(self) -> DataFrame:
         return self.classes().unionAll(self.properties()).unionAll(self.graph.universe_frame().withColumnRenamed("ind", "iri")).distinct()
@@ -103,9 +124,14 @@ class Schema:
         same = self.graph.table("equivalent_class")
         return Hierarchy(self.graph.table("sub_class").unionAll(same.select("a", "b")).unionAll(same.select("b", "a")), self.classes().withColumnRenamed("iri", "item"))
 
-    def property_hierarchy(self) -> Hierarchy:
+    def property_hierarchy(self, kind: str | None = None) -> Hierarchy:
+        """The hierarchy of object properties, of data properties, or of both in one."""
         same = self.graph.table("equivalent_prop")
-        return Hierarchy(self.graph.table("sub_prop").unionAll(same.select("a", "b")).unionAll(same.select("b", "a")), self.properties().withColumnRenamed("iri", "item"))
+        edges = self.graph.table("sub_prop").unionAll(same.select("a", "b")).unionAll(same.select("b", "a"))
+        items = self.properties(kind).withColumnRenamed("iri", "item")
+        if kind is not None:
+            edges = edges.join(items, F.col("sub") == F.col("item"), "left_semi")
+        return Hierarchy(edges, items)
 
     def _equal(self, table: str, name: str) -> DataFrame:
         """``iri``: names connected to ``name`` by declared equivalence, without it."""
@@ -127,14 +153,14 @@ class Schema:
         return t.where(F.col("a") == name).select(F.col("b").alias("iri")).unionAll(t.where(F.col("b") == name).select("a")).distinct()
 
     def _disjoint(self, table: str, closure: str, name: str) -> DataFrame:
-        """Names disjoint with the name or one above it, and all below them."""
+        """Names disjoint with the name or one above it, and all below or equal to them; bottom is disjoint with everything."""
         t, c = self.graph.table(table), self.graph.closure(closure)
         both = t.select("a", "b").unionAll(t.select("b", "a"))
         own = self.graph.spark.range(1).select(F.lit(name).alias("up"))
         up = c.where(F.col("sub") == name).select(F.col("sup").alias("up")).unionAll(own).distinct()
         hit = both.join(up, F.col("a") == F.col("up"), "left_semi").select(F.col("b").alias("iri")).distinct()
         below = c.join(hit, F.col("sup") == F.col("iri"), "left_semi").select(F.col("sub").alias("iri"))
-        return hit.unionAll(below).distinct()
+        return hit.unionAll(below).where(F.col("iri") != E.NOTHING.iri).distinct()
 
     def disjoint_classes(self, name: str) -> DataFrame:
         return self._disjoint("disjoint_class", "sub_class", name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.functions import text as T
@@ -216,20 +216,43 @@ def assertion_total(spark, sf_dir):
     return frames[0].unionAll(frames[1]).unionAll(frames[2]).agg(F.sum("n").alias("total"))
 
 
-@query()
+#: The assertions of the graph as rows (t, x, y, z, w), and the hash by which ``perturb`` picks.
+_ASSERTED = """WITH a AS (SELECT 'c' AS t, 'Region' AS x, 'region/' || r_regionkey AS y, NULL::VARCHAR AS z, NULL::VARCHAR AS w FROM region UNION ALL SELECT 'c', 'Nation', 'nation/' || n_nationkey, NULL, NULL FROM nation
+UNION ALL SELECT 'c', 'Customer', 'customer/' || c_custkey, NULL, NULL FROM customer UNION ALL SELECT 'c', 'Supplier', 'supplier/' || s_suppkey, NULL, NULL FROM supplier
+UNION ALL SELECT 'c', 'BuildingCustomer', 'customer/' || c_custkey, NULL, NULL FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'c', 'UrgentOrder', 'order/' || o_orderkey, NULL, NULL FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'o', 'inRegion', 'nation/' || n_nationkey, 'region/' || n_regionkey, NULL FROM nation UNION ALL SELECT 'o', 'inNation', 'customer/' || c_custkey, 'nation/' || c_nationkey, NULL FROM customer
+UNION ALL SELECT 'o', 'basedIn', 'supplier/' || s_suppkey, 'nation/' || s_nationkey, NULL FROM supplier UNION ALL SELECT 'o', 'placedBy', 'order/' || o_orderkey, 'customer/' || o_custkey, NULL FROM orders
+UNION ALL SELECT 'd', 'acctbal', 'customer/' || c_custkey, c_acctbal::VARCHAR, 'http://www.w3.org/2001/XMLSchema#double' FROM customer UNION ALL SELECT 'd', 'acctbal', 'supplier/' || s_suppkey, s_acctbal::VARCHAR, 'http://www.w3.org/2001/XMLSchema#double' FROM supplier
+UNION ALL SELECT 'd', 'label', 'nation/' || n_nationkey, n_name, 'http://www.w3.org/2001/XMLSchema#string' FROM nation), inds AS (SELECT y AS ind FROM a UNION SELECT z FROM a WHERE t = 'o')"""
+
+
+def _hash(seed: int, *columns: str) -> str:
+    told = " || ',' || ".join(f"""coalesce('"=' || {c} || '"', '"-"')""" for c in columns)
+    return f"""('0x' || substr(md5('["{seed}",' || {told} || ']'), 1, 15))::BIGINT"""
+
+
+@query(f"{_ASSERTED}, gone AS (SELECT * FROM a QUALIFY row_number() OVER (ORDER BY {_hash(7, *'txyzw')}) <= (SELECT floor(count(*) * 20 / 100) FROM a)) SELECT x AS p, y AS s, z AS o FROM a WHERE t = 'o' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = 'o' AND g.x = a.x AND g.y = a.y AND g.z = a.z)")
 def incomplete_assertions(spark, sf_dir):
     """The links that are left when a share of all assertions is dropped by hash."""
     return perturb.without_assertions(star_triples(spark, sf_dir), 20, 7).table("obj_assertion")
 
 
-@query()
+@query(f"{_ASSERTED} SELECT x AS cls, y AS ind FROM a WHERE t = 'c' AND y NOT IN (SELECT ind FROM inds QUALIFY row_number() OVER (ORDER BY {_hash(7, 'ind')}) <= (SELECT floor(count(*) * 10 / 100) FROM inds))")
 def incomplete_individuals(spark, sf_dir):
     return perturb.without_individuals(star_triples(spark, sf_dir), 10, 7).table("class_assertion")
 
 
-@query()
+@query(
+    f"""{_ASSERTED}, k AS (SELECT DISTINCT x AS cls FROM a WHERE t = 'c'), numbered AS (SELECT cls, row_number() OVER (ORDER BY cls) - 1 AS no FROM k),
+    drawn AS (SELECT cls, ind FROM inds JOIN numbered ON no = {_hash(8, 'ind')} % (SELECT count(*) FROM k)), wrong AS (SELECT cls, ind FROM drawn WHERE NOT EXISTS (SELECT 1 FROM a WHERE t = 'c' AND x = cls AND y = ind)),
+    total AS (SELECT floor((SELECT count(*) FROM a) * 5 / 100)::BIGINT AS n), made AS (SELECT cls, ind FROM wrong QUALIFY row_number() OVER (ORDER BY {_hash(7, 'cls', 'ind')}) <= (SELECT n // 2 FROM total)),
+    turned AS (SELECT x AS p, z AS s, y AS o FROM a WHERE t = 'o' QUALIFY row_number() OVER (ORDER BY {_hash(7, 'x', 'z', 'y')}) <= (SELECT n - n // 2 FROM total))
+    SELECT x AS p, y AS s, NULL AS o FROM a WHERE t = 'c' UNION ALL SELECT cls, ind, NULL FROM made UNION ALL SELECT x, y, z FROM a WHERE t = 'o' UNION ALL SELECT p, s, o FROM turned"""
+)
 def inconsistent_graph(spark, sf_dir):
-    return perturb.with_wrong_assertions(star_triples(spark, sf_dir), 5, 7).table("class_assertion")
+    """Class assertions and links of a graph to which wrong ones were added, five for each hundred assertions."""
+    g = perturb.with_wrong_assertions(star_triples(spark, sf_dir), 5, 7)
+    return g.table("class_assertion").select(F.col("cls").alias("p"), F.col("ind").alias("s"), F.lit(None).cast("string").alias("o")).unionAll(g.table("obj_assertion").select("p", "s", "o"))
 
 
 @query("SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) >= 0.3")
@@ -255,7 +278,7 @@ def chunks_paragraph(spark, sf_dir):
     return T.chunked(_table(spark, sf_dir, "documents"), 1000, 100, "paragraph")
 
 
-@query()
+@query(r"SELECT id, (i - 1)::INTEGER AS sentence_no, parts[i] AS sentence FROM (SELECT doc_id AS id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM documents) t) u")
 def sentences(spark, sf_dir):
     return T.sentences(_table(spark, sf_dir, "documents"))
 
@@ -265,7 +288,7 @@ def estimated_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("n"))
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
@@ -306,19 +329,20 @@ def windowed_counts(spark, sf_dir):
     return counts(_table(spark, sf_dir, "events"), "ts", "event_type")
 
 
-@query("SELECT 'customer/' || o_custkey AS node, 'customer/' || min(o_custkey) OVER () AS root FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 0) x")
+@query(
+    """SELECT DISTINCT kind || '/' || k AS node, 'customer/' || min(c) OVER (PARTITION BY n) AS root FROM (SELECT 'customer' AS kind, c_custkey AS k, c_custkey AS c, c_nationkey AS n FROM customer
+    UNION ALL SELECT 'order', o_orderkey, o_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'nation', c_nationkey, c_custkey, c_nationkey FROM customer) x"""
+)
 def connected(spark, sf_dir):
-    """Customers of even keys joined in a chain by their order of keys are one component; the SQL asks for even keys alone."""
-    keys = _table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select("o_custkey").distinct()
-    # the key before, within a block of keys, or for a block's least key the greatest of the block before
-    block = F.floor(F.col("o_custkey") / 1024)
-    before = F.lag("o_custkey").over(Window.partitionBy("block").orderBy("o_custkey"))
-    blocks = keys.groupBy(block.alias("block")).agg(F.max("o_custkey").alias("top"))
-    last = blocks.select("block", F.lag("top").over(Window.orderBy("block")).alias("top"))
-    inside = keys.withColumn("block", block).withColumn("k", before)
-    edges = inside.join(last, "block").select(F.col("o_custkey").alias("a"), F.coalesce("k", "top", "o_custkey").alias("b"))
-    out = connected_components(edges, "a", "b")
-    return out.select(F.concat(F.lit("customer/"), "node").alias("node"), F.concat(F.lit("customer/"), "root").alias("root"))
+    """Orders linked to their customers and customers to their nations: a component for each nation, by its least customer's key."""
+    name = lambda kind, c: F.concat(F.lit(kind + "/"), F.col(c).cast("string"))
+    customer, orders = _table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    edges = customer.select(name("customer", "c_custkey").alias("a"), name("nation", "c_nationkey").alias("b"))
+    parts = connected_components(edges.unionAll(orders.select(name("order", "o_orderkey"), name("customer", "o_custkey"))), "a", "b")
+    key = F.when(F.col("node").startswith("customer/"), F.expr("bigint(substring(node, 10))"))
+    least = parts.groupBy("root").agg(F.concat(F.lit("customer/"), F.min(key).cast("string")).alias("least"))
+    return parts.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 @query(f"{_DOCS}, n_chars AS score FROM documents ORDER BY n_chars DESC, ind LIMIT 10")

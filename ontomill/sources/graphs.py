@@ -208,6 +208,8 @@ TABLES = {
     "different_from": "a string, b string",
     "prop_chain": "p string, chain array<string>",
     "annotation": "s string, p string, value string",
+    "iri_annotation": "s string, p string, value string",
+    "language": "p string, s string, lex string, lang string",
     "entity": "iri string, kind string",
     "complex_axiom": "kind string, args array<string>",
     "neg_obj_assertion": "p string, s string, o string",

@@ -6,6 +6,7 @@ parsed a file a row; a file is the unit of work, so big graphs belong in N-Tripl
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 import xml.etree.ElementTree as ET
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ontomill.plans import expr as E
 from ontomill.plans.ship import ship
+from ontomill.sources import owl_rdf
 from ontomill.sources.graphs import TABLES, TripleGraph
 
 SCHEMA = "s string, p string, o string, o_kind string, dt string, lang string"
@@ -27,26 +29,50 @@ _LINE = rf'^\s*{_TERM}\s+(<[^<>\s]*>)\s+(?:{_TERM}|"((?:[^"\\]|\\.)*)"(?:\^\^<([
 
 
 def _unescaped(c: Column) -> Column:
-    for code, sign in (("\\\\n", "\n"), ("\\\\r", "\r"), ("\\\\t", "\t"), ('\\\\"', '"')):
+    for code, sign in (("\\\\n", "\n"), ("\\\\r", "\r"), ("\\\\t", "\t"), ("\\\\b", "\b"), ("\\\\f", "\f"), ('\\\\"', '"'), ("\\\\'", "'")):
         c = F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*){code}", "$1" + sign)
-    # \uXXXX is rare: only such rows take the slow way
-    c = F.when(c.rlike(r"\\u[0-9A-Fa-f]{4}"), F.aggregate(F.sequence(F.lit(1), F.size(F.split(c, r"\\u"))), c, _one_code)).otherwise(c)
+    # codes are rare: only such rows take the slow way
+    c = F.when(c.rlike(_CODE), F.aggregate(F.sequence(F.lit(1), F.size(F.split(c, r"\\[uU]"))), c, _one_code)).otherwise(c)
     return F.regexp_replace(c, r"\\\\", r"\\")
 
 
+_CODE = r"(?<!\\)(?:\\\\)*\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
+
+
 def _one_code(text: Column, _: Column) -> Column:
-    code = F.regexp_extract(text, r"\\u([0-9A-Fa-f]{4})", 1)
-    sign = F.decode(F.unhex(code), "UTF-16BE")
-    return F.when(code == "", text).otherwise(F.replace(text, F.concat(F.lit("\\u"), code), sign))
+    """The first code that no backslash escapes, wherever it stands, replaced by its character."""
+    code = F.regexp_extract(text, _CODE, 1)
+    sign = F.decode(F.unhex(F.lpad(F.substring(code, 2, 8), 8, "0")), "UTF-32")
+    # a sign that means something in a replacement is escaped there
+    shown = F.when(sign.isin("\\", "$"), F.concat(F.lit("\\"), sign)).otherwise(sign)
+    return F.when(code == "", text).otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\"), code), F.concat(F.lit("$1"), shown)))
 
 
 def _plain(term: Column) -> Column:
     return F.regexp_replace(term, "^<|>$", "")
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples or N-Quads files; comments, blank lines and lines that aren't statements are left out."""
-    line = spark.read.text(path).where(F.col("value").rlike(_LINE)).select(*[F.regexp_extract("value", _LINE, i).alias(f"g{i}") for i in range(1, 7)])
+def _blank(line: Column) -> Column:
+    return line.rlike(r"^\s*(#.*)?$")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: lines of N-Triples or N-Quads files that are neither statements nor comments nor blank."""
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~_blank(F.col("value")))
+
+
+def read_ntriples(spark: SparkSession, path: str, strict: bool = False, graphs: bool = False) -> DataFrame:
+    """Triples of N-Triples or N-Quads files; comments and blank lines are left out.
+
+    Lines that aren't statements are left out too (``bad_lines`` lists them), or with ``strict`` end the query with an error
+    that names the first. With ``graphs`` a line may stand in a block ``GRAPH <name> { ... }`` of its own.
+    """
+    value = F.regexp_replace("value", r"^\s*GRAPH\s+<[^<>\s]*>\s*\{(.*)\}\s*$", "$1") if graphs else F.col("value")
+    lines = spark.read.text(path).select(value.alias("value"))
+    if strict:
+        said = F.raise_error(F.concat(F.lit("no statement: "), F.col("value")))
+        lines = lines.where(~_blank(F.col("value"))).select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(said.cast("string")).alias("value"))
+    line = lines.where(F.col("value").rlike(_LINE)).select(*[F.regexp_extract("value", _LINE, i).alias(f"g{i}") for i in range(1, 7)])
     is_literal = F.col("g3") == ""
     return line.select(
         _plain(F.col("g1")).alias("s"),
@@ -63,14 +89,14 @@ def _line(t: DataFrame) -> Column:
         return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
 
     text = F.col("o")
-    for sign, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for sign, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(sign), F.lit(code))
     tail = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("dt") == E.XSD + "string", "").otherwise(F.concat(F.lit("^^<"), F.col("dt"), F.lit(">")))
     obj = F.when(F.col("o_kind") == "lit", F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(tail, F.lit("")))).otherwise(term("o"))
     return F.concat_ws(" ", term("s"), term("p"), obj)
 
 
-_TURTLE = re.compile(r'\s*(?:#[^\n]*\n\s*)*(?:(?P<iri><[^<>\s]*>)|(?P<long>"""(?:[^\\]|\\.)*?""")|(?P<lit>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z][A-Za-z0-9\-]*)|(?P<dt>\^\^)|(?P<num>[+-]?(?:\d+\.\d*|\.?\d+)(?:[eE][+-]?\d+)?)|(?P<mark>[;,.\[\]()])|(?P<name>_:[\w\-.]*\w|(?:[\w\-.]*\w)?:(?:[\w\-.%]*[\w\-%])?|a\b|true\b|false\b|PREFIX\b|BASE\b))')
+_TURTLE = re.compile(r'\s*(?:#[^\n]*\n\s*)*(?:(?P<iri><[^<>\s]*>)|(?P<long>"""(?:[^\\]|\\.)*?""")|(?P<lit>"(?:[^"\\\n]|\\.)*")|(?P<lang>@[A-Za-z][A-Za-z0-9\-]*)|(?P<dt>\^\^)|(?P<num>[+-]?(?:\d+\.\d*|\.?\d+)(?:[eE][+-]?\d+)?)|(?P<mark>[;,.\[\](){}])|(?P<name>_:[\w\-.]*\w|(?:[\w\-.]*\w)?:(?:[\w\-.%]*[\w\-%])?|a\b|true\b|false\b|PREFIX\b|BASE\b|GRAPH\b))')
 
 
 def parse_turtle(text: str, file: str = "") -> list[tuple]:
@@ -94,7 +120,7 @@ def parse_turtle(text: str, file: str = "") -> list[tuple]:
 
     def text_of(raw: str) -> str:
         body = raw[3:-3] if raw.startswith('"""') else raw[1:-1]
-        return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: {"n": "\n", "r": "\r", "t": "\t"}.get(m[1]) or (chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else m[1]), body, flags=re.DOTALL)
+        return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}.get(m[1]) or (chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else m[1]), body, flags=re.DOTALL)
 
     def iri(kind: str, raw: str) -> str:
         if kind == "iri":
@@ -152,7 +178,7 @@ def parse_turtle(text: str, file: str = "") -> list[tuple]:
                 k += 1
             while tokens[k][1] == ";":
                 k += 1
-            if tokens[k][1] in (".", "]"):
+            if tokens[k][1] in (".", "]", "}"):
                 return
 
     while k < len(tokens):
@@ -163,9 +189,11 @@ def parse_turtle(text: str, file: str = "") -> list[tuple]:
         elif word in ("@base", "BASE"):
             base = tokens[k + 1][1][1:-1]
             k += 2
+        elif word in ("GRAPH", "{", "}"):  # a graph's name is left out, as that of a quad is
+            k += 1
         else:
             s = node()[0]
-            if tokens[k][1] != ".":
+            if tokens[k][1] not in (".", "{"):
                 predicates(s)
         if k < len(tokens) and tokens[k][1] == ".":
             k += 1
@@ -232,8 +260,81 @@ def parse_rdfxml(text: str, file: str = "") -> list[tuple]:
     return out
 
 
-PARSERS = {"turtle": parse_turtle, "rdfxml": parse_rdfxml}
-FORMATS = {"nt": "ntriples", "ntriples": "ntriples", "nq": "ntriples", "nquads": "ntriples", "ttl": "turtle", "turtle": "turtle", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "rdfxml": "rdfxml"}
+def parse_jsonld(text: str, file: str = "") -> list[tuple]:
+    """Triples of JSON-LD: one document, or one a line; expanded names, ``@context`` with a vocabulary, prefixes and terms, ``@graph``, lists, nested nodes."""
+    out, blank = [], 0
+    try:
+        docs = [json.loads(text)]
+    except ValueError:
+        docs = [json.loads(line) for line in text.splitlines() if line.strip()]
+
+    def full(x: str, context: dict) -> str:
+        term = context.get(x)
+        if isinstance(term, dict):
+            term = term.get("@id")
+        if term:
+            return full(term, {k: v for k, v in context.items() if k != x})
+        head, colon, tail = x.partition(":")
+        if colon and isinstance(context.get(head), str) and not tail.startswith("//"):
+            return context[head] + tail
+        return x if colon else context.get("@vocab", "") + x
+
+    def fresh() -> str:
+        nonlocal blank
+        blank += 1
+        return f"_:j{zlib.crc32(file.encode())}x{blank}"
+
+    def say(s: str, p: str, v, context: dict) -> None:  # noqa: ANN001
+        out.append((s, p, *value(v, p, context)))
+
+    def value(v, p: str, context: dict) -> tuple:  # noqa: ANN001
+        if isinstance(v, dict) and "@list" in v:
+            rest = (E.RDF + "nil", "iri", None, None)
+            for item in reversed(v["@list"]):
+                b = fresh()
+                out.append((b, E.RDF + "first", *value(item, p, context)))
+                out.append((b, E.RDF + "rest", *rest))
+                rest = (b, "bnode", None, None)
+            return rest
+        if isinstance(v, dict) and "@value" in v:
+            lex, lang = v["@value"], v.get("@language")
+            plain = lex if isinstance(lex, str) else json.dumps(lex)
+            kind = E.RDF + "langString" if lang else full(v["@type"], context) if v.get("@type") else typed(lex)
+            return plain, "lit", kind, lang
+        if isinstance(v, dict):
+            o = node(v, context)
+            return o, "bnode" if o.startswith("_:") else "iri", None, None
+        return v if isinstance(v, str) else json.dumps(v), "lit", typed(v), None
+
+    def typed(v) -> str:  # noqa: ANN001
+        return E.XSD + ("boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string")
+
+    def node(d: dict, context: dict) -> str:
+        own = d.get("@context") or {}
+        for c in own if isinstance(own, list) else [own]:
+            context = context | (c if isinstance(c, dict) else {})
+        s = full(d["@id"], context) if "@id" in d else fresh()
+        for key, values in d.items():
+            for v in values if isinstance(values, list) else [values]:
+                if key == "@type":
+                    out.append((s, E.RDF + "type", full(v, context), "iri", None, None))
+                elif key == "@graph":
+                    node(v, context)
+                elif key[0] != "@":
+                    term = context.get(key)
+                    if isinstance(v, str) and isinstance(term, dict) and "@type" in term:
+                        v = {"@id": v} if term["@type"] == "@id" else {"@value": v, "@type": term["@type"]}
+                    say(s, full(key, context), v, context)
+        return s
+
+    for doc in docs:
+        for d in doc if isinstance(doc, list) else [doc]:
+            node(d, {})
+    return out
+
+
+PARSERS = {"turtle": parse_turtle, "rdfxml": parse_rdfxml, "jsonld": parse_jsonld}
+FORMATS = {"nt": "ntriples", "ntriples": "ntriples", "nq": "ntriples", "nquads": "ntriples", "ttl": "turtle", "turtle": "turtle", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "rdfxml": "rdfxml", "trig": "trig", "n3": "turtle", "jsonld": "jsonld", "json": "jsonld"}
 
 
 def read_triples(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -243,6 +344,11 @@ def read_triples(spark: SparkSession, path: str, fmt: str | None = None) -> Data
         raise ValueError(f"unknown format of {path}")
     if fmt == "ntriples":
         return read_ntriples(spark, path)
+    if fmt == "trig":  # a block a line is read by all tasks, as it is written; other documents a file a row
+        lined = spark.read.text(path).where(~_blank(F.col("value")) & ~F.col("value").rlike(r"^\s*GRAPH\s+<[^<>\s]*>\s*\{.*\}\s*$")).isEmpty()
+        if lined:
+            return read_ntriples(spark, path, graphs=True)
+        fmt = "turtle"
     ship(spark)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,13 +372,17 @@ ANNOTATIONS = (E.RDFS + "label", E.RDFS + "comment", E.RDFS + "seeAlso", E.RDFS
 
 
 def graph_of(triples: DataFrame) -> TripleGraph:
-    """Triples sorted into a graph's tables by their predicates; statements about blank nodes stay out of the tables."""
+    """Triples sorted into a graph's tables by their predicates.
+
+    Blank nodes that build class expressions, lists and negative assertions become rows of the tables of complex axioms;
+    individuals without a name stay out of the tables.
+    """
     spark = triples.sparkSession
     named = triples.where(~F.col("s").startswith("_:") & (F.coalesce(F.col("o_kind"), F.lit("")) != "bnode"))
     types = named.where(F.col("p") == E.RDF + "type")
     entity = types.where(F.col("o").isin(*[E.OWL + x for x in ENTITIES])).select(F.col("s").alias("iri"), F.expr(f"substring(o, {len(E.OWL) + 1})").alias("kind")).distinct()
     schema_terms = F.col("o").startswith(E.OWL) & (F.col("o") != E.OWL + "Thing") | F.col("o").startswith(E.RDFS) | F.col("o").startswith(E.RDF)
-    reserved = [p for p, _, _ in PAIRS.values()] + [E.RDF + "type", *ANNOTATIONS, E.OWL + "imports", E.RDF + "first", E.RDF + "rest"]
+    reserved = [p for p, _, _ in PAIRS.values()] + [E.RDF + "type", *ANNOTATIONS, E.OWL + "imports", E.RDF + "first", E.RDF + "rest", *owl_rdf.BUILT]
     rest = named.where(~F.col("p").isin(*reserved))
     tables = {name: named.where((F.col("p") == p) & (F.col("o_kind") == "iri")).select(F.col("s").alias(a), F.col("o").alias(b)) for name, (p, a, b) in PAIRS.items()}
     tables |= {
@@ -282,8 +392,12 @@ def graph_of(triples: DataFrame) -> TripleGraph:
         "obj_assertion": rest.where("o_kind = 'iri'").select("p", "s", "o"),
         "data_assertion": rest.where("o_kind = 'lit'").select("p", "s", F.col("o").alias("lex"), "dt"),
         "characteristic": types.where(F.col("o").isin(*[E.OWL + x for x in CHARACTERISTICS])).select(F.col("s").alias("p"), F.expr(f"substring(o, {len(E.OWL) + 1})").alias("name")),
-        "annotation": named.where(F.col("p").isin(*ANNOTATIONS)).select("s", "p", F.col("o").alias("value")),
+        "annotation": named.where(F.col("p").isin(*ANNOTATIONS) & (F.col("o_kind") == "lit")).select("s", "p", F.col("o").alias("value")),
+        "iri_annotation": named.where(F.col("p").isin(*ANNOTATIONS) & (F.col("o_kind") == "iri")).select("s", "p", F.col("o").alias("value")),
+        "language": named.where("lang is not null").select("p", "s", F.col("o").alias("lex"), "lang"),
     }
+    if not triples.where(F.col("s").startswith("_:")).isEmpty() or not triples.where(F.col("p").isin(E.OWL + "hasKey", E.OWL + "disjointUnionOf")).isEmpty():
+        tables |= owl_rdf.read(triples, tables)
     return TripleGraph(spark, tables)
 
 
@@ -301,8 +415,17 @@ def triples_of(graph: TripleGraph) -> DataFrame:
     frames.append(iri(t["class_assertion"], "ind", F.lit(E.RDF + "type"), F.col("cls")))
     frames.append(iri(t["characteristic"], "p", F.lit(E.RDF + "type"), F.concat(F.lit(E.OWL), "name")))
     frames.append(iri(t["obj_assertion"], "s", F.col("p"), F.col("o")))
-    frames.append(t["data_assertion"].select("s", "p", F.col("lex").alias("o"), F.lit("lit").alias("o_kind"), "dt", null.alias("lang")))
-    frames.append(t["annotation"].select("s", "p", F.col("value").alias("o"), F.lit("lit").alias("o_kind"), F.lit(E.XSD + "string").alias("dt"), null.alias("lang")))
+    said = t["language"].select(F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("lex").alias("lex2"), "lang").distinct()
+    tagged = (F.col("p") == F.col("p2")) & (F.col("s") == F.col("s2")) & (F.col("o") == F.col("lex2"))
+    values = t["data_assertion"].select("s", "p", F.col("lex").alias("o"), "dt").unionAll(t["annotation"].select("s", "p", "value", F.lit(E.XSD + "string")))
+    notes = F.col("p").isin(*ANNOTATIONS)
+    plain = values.where((F.col("dt") != E.RDF + "langString") & ~notes | F.col("dt").isNull())
+    spoken = values.where((F.col("dt") == E.RDF + "langString") | notes).join(said, tagged, "left")
+    dt = F.when(F.col("lang").isNotNull(), E.RDF + "langString").otherwise(F.col("dt"))
+    frames.append(plain.select("s", "p", "o", F.lit("lit").alias("o_kind"), "dt", null.alias("lang")))
+    frames.append(spoken.select("s", "p", "o", F.lit("lit").alias("o_kind"), dt.alias("dt"), "lang"))
+    frames.append(iri(t["iri_annotation"], "s", F.col("p"), F.col("value")))
+    frames.append(owl_rdf.written(graph))
     return reduce(DataFrame.unionByName, frames).where("s is not null and o is not null").distinct()
 
 
@@ -319,14 +442,11 @@ def save(graph: TripleGraph, path: str, fmt: str = "ntriples", context: str = "u
         t.select(F.concat(_line(t), F.lit(tail)).alias("value")).write.text(path)
     elif fmt in ("turtle", "n3"):  # a statement a line is Turtle too; subjects are grouped within a part
         t.sortWithinPartitions("s", "p").select(F.concat(_line(t), F.lit(" .")).alias("value")).write.text(path)
-    elif fmt == "jsonld":
-        value = F.when(F.col("o_kind") == "lit", F.to_json(F.struct(F.col("o").alias("@value"), F.col("dt").alias("@type")))).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
-        by = t.withColumn("v", value).groupBy("s", "p").agg(F.concat_ws(",", F.array_sort(F.collect_list("v"))).alias("vs"))
-        quoted = lambda c: F.to_json(F.struct(F.col(c).alias("x"))).substr(6, 1 << 30)  # noqa: E731  "…"}
-        entry = F.concat(F.expr("substring(pq, 1, length(pq) - 1)"), F.lit(":["), F.col("vs"), F.lit("]"))
-        by = by.withColumn("pq", quoted("p")).withColumn("entry", entry).groupBy("s").agg(F.concat_ws(",", F.array_sort(F.collect_list("entry"))).alias("body"))
-        by = by.withColumn("sq", quoted("s"))
-        by.select(F.concat(F.lit('{"@id":'), F.expr("substring(sq, 1, length(sq) - 1)"), F.lit(","), F.col("body"), F.lit("}")).alias("value")).write.text(path)
+    elif fmt == "jsonld":  # a statement a node object: objects of one node may repeat, so a hub isn't gathered
+        tagged = F.when(F.col("lang").isNull(), F.col("dt"))
+        value = F.when(F.col("o_kind") == "lit", F.to_json(F.struct(F.col("o").alias("@value"), tagged.alias("@type"), F.col("lang").alias("@language")))).otherwise(F.to_json(F.struct(F.col("o").alias("@id"))))
+        quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":(.*)\}$', 1)
+        t.select(F.concat(F.lit('{"@id":'), quoted("s"), F.lit(","), quoted("p"), F.lit(":["), value, F.lit("]}")).alias("value")).write.text(path)
     elif fmt == "rdfxml":
         ship(graph.spark)
         t.sortWithinPartitions("s").mapInPandas(_xml_parts, "value string").write.text(path)
