@@ -7,6 +7,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ontomill.operators import materialise
 from ontomill.operators.retrieval import Reasoner
@@ -20,7 +21,10 @@ PAGE = 10_000
 
 
 def answer(graph: TripleGraph, path: str, body: dict) -> dict:
-    """The answer to one request: instances, classes, object_properties, data_properties, individuals, abox, tbox, infer_axioms."""
+    """The answer to one request: instances, classes, object_properties, data_properties, individuals, abox, tbox, infer_axioms.
+
+    Answers come in order, a page at a time; where ``next`` is true, the same request with ``after`` set to the last result goes on.
+    """
     schema = Schema(graph)
     if path == "/instances":
         parse = parse_manchester if body.get("syntax") == "manchester" else parse_dl
@@ -39,7 +43,10 @@ def answer(graph: TripleGraph, path: str, body: dict) -> dict:
         df = materialise.inferred(graph, tuple(body.get("types") or materialise.GENERATORS))
     else:
         raise KeyError(path)
-    rows = df.limit(PAGE + 1).collect()
+    if (after := body.get("after")) is not None:
+        known = [after[c] for c in df.columns] if isinstance(after, dict) else [after]
+        df = df.where(F.struct(*df.columns) > F.struct(*[F.lit(v).alias(c) for c, v in zip(df.columns, known, strict=True)]))
+    rows = df.orderBy(*df.columns).limit(PAGE + 1).collect()
     return {"results": [r.asDict() if len(r) > 1 else r[0] for r in rows[:PAGE]], "next": len(rows) > PAGE}
 
 
