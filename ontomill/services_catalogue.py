@@ -17,6 +17,7 @@ from ontomill.plans.expr import Prop, axiom
 from ontomill.plans.graph import connected_components, transitive_closure
 from ontomill.plans.syntax import parse_dl, parse_manchester
 from ontomill.sources import rdf, tabular
+from ontomill.sources.graphs import ASSERTIONS, TABLES
 from ontomill.sources.star import star_graph
 from ontomill.sources.star_triples import DOMAINS, SUB_CLASSES, star_triples
 from ontomill.streaming.ingest import counts
@@ -164,7 +165,7 @@ def triples_to_rows(spark, sf_dir):
 def triple_count(spark, sf_dir):
     """Triples of the assertions."""
     g = star_triples(spark, sf_dir)
-    return rdf.triples_of(g.replaced(**{k: g.table(k).limit(0) for k in ("sub_class", "sub_prop", "domain", "range", "disjoint_class", "inverse_prop", "characteristic")})).agg(F.count("*").alias("n"))
+    return rdf.triples_of(g.replaced(**{k: g.table(k).limit(0) for k in TABLES if k not in ASSERTIONS})).agg(F.count("*").alias("n"))
 
 
 @query("WITH types AS (SELECT 'order/' || o_orderkey AS ind, unnest(['Order', 'Document']) AS cls FROM orders UNION ALL SELECT 'order/' || o_orderkey, 'UrgentOrder' FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 'customer/' || c_custkey, unnest(['Customer', 'Party', 'Agent', 'Located']) FROM customer UNION ALL SELECT 'customer/' || c_custkey, 'BuildingCustomer' FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'supplier/' || s_suppkey, unnest(['Supplier', 'Party', 'Agent', 'Located']) FROM supplier UNION ALL SELECT 'nation/' || n_nationkey, unnest(['Nation', 'Place', 'Located']) FROM nation UNION ALL SELECT 'region/' || r_regionkey, unnest(['Region', 'Place']) FROM region) SELECT ind, cls FROM types")

@@ -215,6 +215,8 @@ TABLES = {
     "neg_obj_assertion": "p string, s string, o string",
     "neg_data_assertion": "p string, s string, lex string, dt string",
 }
+#: The tables that speak of individuals; the others hold the schema, declarations and annotations.
+ASSERTIONS = ("individuals", "class_assertion", "obj_assertion", "data_assertion", "language", "same_as", "different_from", "neg_obj_assertion", "neg_data_assertion")
 
 
 #: Schema edges, and pairs of their closure, up to which a closure is made on the driver; beyond, by rounds of joins.

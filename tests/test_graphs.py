@@ -17,9 +17,10 @@ from ontomill.plans import expr as E
 from ontomill.plans.expr import XSD, Class, Literal, Prop, axiom
 from ontomill.plans.graph import connected_components, transitive_closure
 from ontomill.plans.syntax import parse_axiom, parse_dl, render_axiom
-from ontomill import service
+from ontomill import service, services_catalogue
 from ontomill.service import answer, serve
 from ontomill.sources import rdf, tabular
+from ontomill.sources.graphs import TABLES
 from ontomill.streaming import ingest as stream
 from tests.family import NS, father, graph, n
 
@@ -118,6 +119,15 @@ def test_rdf_round_trips(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/trig").where("value like 'GRAPH <urn:graph> {%}'").count() == len(want)
 
 
+def test_triple_count_leaves_the_schema_out(spark, monkeypatch):
+    """Triples of assertions alone are counted; the chain by itself would be written as five."""
+    schema = {"prop_chain": [(n("hasGrandchild"), [n("hasChild"), n("hasChild")])], "equivalent_class": [(n("male"), n("man"))], "annotation": [(n("male"), n("note"), "x")]}
+    g = father(spark).replaced(**{k: spark.createDataFrame(rows, TABLES[k]) for k, rows in schema.items()})
+    monkeypatch.setattr(services_catalogue, "star_triples", lambda *_: g)
+    want = sum(g.table(k).count() for k in ("individuals", "class_assertion", "obj_assertion", "data_assertion"))
+    assert services_catalogue.triple_count(spark, "").first().n == want > 20
+
+
 def test_parsers(spark, tmp_path):
     ttl = '@prefix : <http://x/> .\n# note\n:a a :B ; :p "x"@en, 4, 1.5, true ;\n  :q [ :r :c ] .\n:l :items ( :a "b" ) .\n:m :d "1"^^<http://www.w3.org/2001/XMLSchema#int> .'
     got = rdf.parse_turtle(ttl)
