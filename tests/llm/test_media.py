@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ontomill.llm import media as A
 from ontomill.llm import registry
@@ -99,3 +100,30 @@ def test_query_stores_and_reads_back(spark):
 
 def round_half(x):
     return int(np.rint(x))
+
+
+def test_lift_gives_back_any_samples():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 192, 1001):
+        pcm = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert len(A.lift(pcm)) == 2 * n and A.unlift(A.lift(pcm)).tolist() == pcm.tolist()
+    mu = A.mulaw_table()[rng.integers(0, 256, 192)]
+    assert not any(A.lift(A.resample(mu, 8000, 16000))[2 * 192 :])
+
+
+def test_resampled_pcm_is_stored_and_read_back(spark, tmp_path, monkeypatch):
+    """The PCM at twice the rate stands beside each file on disk, and its checksum is that of the stored one."""
+    out = A.media_digests(awkward(spark), folder=str(tmp_path))
+    (at,) = tmp_path.iterdir()
+    stored = spark.read.parquet(str(at)).collect()
+    assert len(stored) == len(ROWS)
+    crcs = set()
+    for r in stored:
+        wide = A.unlift(r.pcm16k)
+        assert wide.tolist() == A.pcm_of(r.media, 16000).tolist()
+        crcs.add((r.id, zlib.crc32(wide.astype("<i2").tobytes())))
+    assert {(r.id, int(r.feature.rsplit("pcm16k_crc32=")[1])) for r in out.collect()} == crcs
+    # other PCM on disk, another checksum: it isn't made again from the file
+    store = A.store_texts
+    monkeypatch.setattr(A, "store_texts", lambda *a, **b: store(*a, **b).withColumn("pcm16k", F.expr("pcm16k || X'0100'")))
+    assert not {(r.id, r.feature) for r in A.media_digests(awkward(spark)).collect()} & {(r.id, r.feature) for r in out.collect()}
