@@ -2,9 +2,10 @@
 
 A classifier fitted on a labelled table gives each document a posterior over domains. A document of ``t`` tokens and posterior
 ``p`` adds ``r * t * p`` to the domains' expected totals at rate ``r``. Rates start at one and follow scaled, projected
-gradient steps of the least squares between totals and targets, ``r <- max(0, r - p . L)``, where ``L`` solves the normal
-equations of the documents whose rate is above zero (or is the plain gradient where that leads away). Only ``L``, of one number a domain, passes between rounds: a document's
-rate is replayed from the rounds' ``L``, so there is no table of rates to hold, join or send.
+gradient steps, ``r = max(0, 1 - p . L)``: each round adds to ``L`` what solves the normal equations of the documents whose
+rate is above zero, so that the end is the rates nearest one that meet the targets. Where none do, plain projected gradient
+steps of the least squares between totals and targets follow, ``r <- max(0, r - p . L)``. Only ``L``, of one number a domain,
+passes between rounds: a document's rate is replayed from the rounds' ``L``, so there is no table of rates to hold, join or send.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ontomill.plans.rounds import durable
 from ontomill.plans.ship import arrow_rows
 
 BUCKETS = 1 << 13
+#: Rounds of scaled steps before plain ones; they end in some ten where the target can be met.
+SCALED = 40
 
 
 def word_counts(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -114,48 +117,70 @@ def replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 def fit_rates(members: DataFrame, weights: tuple[float, ...], total: float | None = None, rounds: int = 60, tolerance: float = 1e-7) -> tuple[list[np.ndarray], dict]:
     """Steps that bring the domains' expected totals to ``weights`` times ``total``, and what was reached.
 
-    ``total`` defaults to the tokens that there are. A step solves the normal equations of the documents whose rate is above
-    zero; where that doesn't bring the totals nearer, it is taken back and a plain projected-gradient step, which can't lead
-    away from the nearest totals, is taken instead (a longer one while that gains more). ``met`` in the report says whether the target was reached; if it was not
-    (an unreachable target, or ``rounds`` too few) a warning is given too and the totals are the nearest that were found.
+    ``total`` defaults to the tokens that there are. Scaled steps come first, all added up in one: of the rates that meet the
+    target they seek those with the least sum of ``t * (r - 1) ** 2``, through its convex dual ``sum(t * r ** 2) / 2 + goal . L``,
+    and are halved where that doesn't fall (the totals may lead away for a while). If they don't end within ``SCALED`` rounds,
+    or show that no rates meet the target, up to ``rounds`` plain projected-gradient steps follow from the nearest totals so far,
+    which can't lead away from the nearest ones (longer steps while that gains more). ``met`` in the report says whether the
+    target was reached; if it was not (an unreachable target, or ``rounds`` too few) a warning is given too and the totals are
+    the nearest that were found.
     """
     k = len(weights)
     weights = np.array(weights) / np.sum(weights)
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Totals, normal equations, squares of the rates, and the least ``p . L`` over all steps."""
+        size = k + k * k + 1
+        whole = np.sum(steps, axis=0) if steps else np.zeros(k)
+
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k + k * k)
+            out, low = np.zeros(size), np.inf
             for batch in batches:
                 if batch.num_rows:
                     t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                    p = np.array(batch.column(1).to_pylist()).reshape(-1, k)
+                    p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                     r = replay(p, steps)
                     out[:k] += (r * t) @ p
-                    out[k:] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k), pa.int32()), pa.array(out)], ["i", "x"])
+                    out[k:-1] += ((p * (t * (r > 0))[:, None]).T @ p).ravel()
+                    out[-1] += (t * r) @ r
+                    low = min(low, float(np.min(p @ whole, where=t > 0, initial=np.inf)))
+            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out), pa.array(np.full(size, low))], ["i", "x", "low"])
 
-        got = dict(arrow_rows(members.select("n_tokens", "p"), part, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
-        got = np.array([got.get(i, 0.0) for i in range(k + k * k)])
-        return got[:k], got[k:].reshape(k, k)
+        got = {i: (x, low) for i, x, low in arrow_rows(members.select("n_tokens", "p"), part, "i int, x double, low double").groupBy("i").agg(F.sum("x"), F.min("low")).collect()}
+        x = np.array([got.get(i, (0.0, 0.0))[0] for i in range(size)])
+        return x[:k], x[k:-1].reshape(k, k), x[-1], got.get(0, (0.0, np.inf))[1]
 
-    reached, normal = sums([])
+    reached, normal, squares, _ = sums([])
     goal = weights * (reached.sum() if total is None else total)
     natural, steps, n, close = reached, [], 0, tolerance * max(weights.sum() if total is None else total, reached.sum(), 1)
     best = np.linalg.norm(reached - goal)
     least = 1 / max(np.linalg.eigvalsh(normal).max(), 1e-12)  # what the curvature of all documents allows
-    rate = None
-    while n < rounds and np.abs(reached - goal).max() > close:
+    at, totals, curve, dual, part_of = np.zeros(k), reached, normal, squares / 2, 1.0
+    while n < SCALED and np.abs(reached - goal).max() > close and part_of > 1e-6:
+        n += 1
+        away = totals - goal
+        step = part_of * np.linalg.solve(curve + 1e-12 * max(np.trace(curve), 1e-12) * np.eye(k), away)
+        then, curve_then, squares, low = sums([at + step])
+        fell = squares / 2 + goal @ (at + step)
+        if not (np.isfinite(then).all() and fell <= dual - 1e-4 * (away @ step) + 1e-12 * abs(dual)):
+            part_of /= 2
+            continue
+        at, totals, curve, dual, part_of = at + step, then, curve_then, fell, 1.0
+        off = np.linalg.norm(then - goal)
+        if off < best:
+            steps, reached, best = [at], then, off
+        if low >= 0 and goal @ at < 0:
+            break  # totals of any rates stand on one side of a plane, the target on the other
+    last, rate = n + rounds, 16 * least
+    while n < last and np.abs(reached - goal).max() > close:
         n += 1
-        ridge = 1e-12 * max(np.trace(normal), 1e-12)
-        step = np.linalg.solve(normal + ridge * np.eye(k), reached - goal) if rate is None else rate * (reached - goal)
-        then, normal_then = sums([*steps, step])
+        step = rate * (reached - goal)
+        then = sums([*steps, step])[0]
         off = np.linalg.norm(then - goal)
         if np.isfinite(off) and off < best * (1 - 1e-6):
             steps.append(step)
-            reached, normal, best = then, normal_then, off
-            rate = None if rate is None else 4 * rate
-        elif rate is None:
-            rate = 16 * least
+            reached, best = then, off
+            rate *= 4
         elif rate > least:
             rate = max(rate / 4, least)
         else:

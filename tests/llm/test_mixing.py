@@ -45,6 +45,24 @@ def test_totals_meet_targets(spark):
         assert np.allclose(totals, said["reached"]) and np.allclose(totals, brute_totals(members, lambda p, s=steps: M.replay(p[None], s)[0]))
 
 
+def test_rates_meet_a_target_that_totals_lead_away_from(spark):
+    """Few documents with hardly any of the third domain: the rates nearest one meet its small share, in some ten rounds."""
+    rng = np.random.default_rng(1)
+    p = np.vstack([np.column_stack([1 - q, np.zeros_like(q), q]) for q in (rng.uniform(0.0, 0.02, 60), rng.uniform(0.05, 0.12, 700), rng.uniform(0.2, 0.9, 200))] + [np.tile([0.0, 1.0, 0.0], (40, 1))])
+    t = rng.integers(20, 900, len(p)).astype(float)
+    df = spark.createDataFrame([(i, int(n), q.tolist()) for i, (n, q) in enumerate(zip(t, p, strict=True))], "id long, n_tokens long, p array<double>")
+    steps, said = M.fit_rates(df, registry.SHARES)
+    r = M.replay(p, steps)
+    assert said["met"] and said["rounds"] <= 20
+    assert np.allclose((r * t) @ p / t.sum(), registry.SHARES, atol=1e-6) and min(r) >= 0
+    # the nearest rates to one: no others that meet the target have a smaller sum of squares
+    away = rng.normal(size=(len(p), 50))
+    a = p * t[:, None]
+    held = r[:, None] > 1e-3
+    away = np.where(held, away, 0) - np.where(held, a @ np.linalg.solve((a * held).T @ a, a.T @ np.where(held, away, 0)), 0)
+    assert np.abs((t * (r - 1)) @ away).max() < 1e-6 * t.sum()
+
+
 def test_unreachable_target_stays_nonnegative(spark):
     df = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 10, [0.5, 0.5])], "id long, n_tokens long, p array<double>")
     steps, said = M.fit_rates(df, (0.9, 0.1), rounds=5)
