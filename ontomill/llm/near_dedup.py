@@ -47,6 +47,8 @@ SIMILARITY = 0.8
 SEEDS = (42, 43, 44)
 NEAR = 4
 WHOLE = 20
+#: Edges that one task contracts to components; more take rounds over all tasks.
+AT_ONCE = 100_000
 #: ASCII punctuation, which parts words as white space does in the word prints.
 BREAKS = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 
@@ -444,7 +446,7 @@ def candidate_components(p: DataFrame, prints: list[str], threshold: int, whole:
     nearest = stars(label_links(nodes, prints, threshold, whole, 0), "a", "b")
     moved = spread_join(nodes, nearest, "label", prints[0], "u", "left")
     nodes = durable(moved.select(*prints, "n", F.coalesce("v", "label").alias("label")))
-    found = connected_components(label_links(nodes, prints, threshold, whole, threshold), "a", "b")
+    found = connected_components(label_links(nodes, prints, threshold, whole, threshold), "a", "b", at_once=AT_ONCE)
     return durable(spread_join(nodes, found, "label", prints[0], "node", "left").select(*prints, "n", F.coalesce("root", "label").alias("root")))
 
 
@@ -550,7 +552,7 @@ def _verified_classes(docs: DataFrame, p: DataFrame, text_col: str, prints: list
 
     def links_of(dealt: DataFrame) -> DataFrame:
         rows = dealt.select("root", "part", *kept[1:]).repartition("root", "part").sortWithinPartitions("root", "part")
-        return connected_components(arrow_rows(rows, lambda it: _verify(it, threshold, whole, similarity), "a long, b long"), "a", "b")
+        return connected_components(arrow_rows(rows, lambda it: _verify(it, threshold, whole, similarity), "a long, b long"), "a", "b", at_once=AT_ONCE)
 
     sizes = durable(sets.groupBy("root").agg(F.count("*").alias("m"), count.alias("blocks")).where("m > 1").select("root", "blocks"))
     first = spread_join(sets, sizes, "root", "sha").withColumn("part", F.pmod(F.xxhash64("sha"), F.col("blocks")).cast("long"))

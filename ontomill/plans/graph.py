@@ -67,19 +67,23 @@ def stars(edges: DataFrame, a: str, b: str) -> DataFrame:
     return durable(arrow_rows(pairs, _forest, f"u {kind}, v {kind}").groupBy("u").agg(F.min("v").alias("v")))
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, at_once: int = 0) -> DataFrame:
     """``(node, root)`` for every node of an undirected edge table; ``root`` is the least node of its component.
 
     Alternating large-star and small-star rounds: each round moves every edge to the least neighbour known, the number of
     edges never grows, and no node's neighbours are collected in one place (minimum by a map-side combined aggregate, then
     a join whose skewed keys adaptive execution splits). Rounds end when the edges are a set of stars. Null ends and loops
-    are left out; an empty edge table gives an empty result.
+    are left out; an empty edge table gives an empty result. If the tasks' trees have ``at_once`` edges or fewer together (and no
+    more than a task holds), one task contracts them to the components, without rounds.
     """
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.col(a).alias("u"), F.col(b).cast(kind).alias("v")).where("u is not null and v is not null and u <> v")
     e = arrow_rows(pairs, _forest, f"u {kind}, v {kind}")
     # the stars of all tasks meet by node: a node has at most one edge a task, however many links it has
     e = durable(arrow_rows(e.repartition("u"), _forest, f"u {kind}, v {kind}"))
+    if at_once and e.count() <= min(at_once, HELD):
+        e = durable(arrow_rows(e.coalesce(1), _forest, f"u {kind}, v {kind}"))
+        return _rooted(e)
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is linked to the least of u and its neighbours
@@ -98,7 +102,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return _rooted(e)
+
+
+def _rooted(stars: DataFrame) -> DataFrame:
+    """``(node, root)`` of edges that lead from each node straight to its root, the roots' own rows among them."""
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def transitive_closure(edges: DataFrame, a: str, b: str, max_rounds: int = 200) -> DataFrame:

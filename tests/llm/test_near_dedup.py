@@ -342,3 +342,38 @@ def test_drop_near_copies_on_awkward_tables(spark):
     assert N.drop_near_copies(empty(spark)).count() == 0
     nulls = spark.createDataFrame([(None, None)] * 3, "doc_id long, text string")
     assert N.drop_near_copies(nulls).count() == 1
+
+
+def test_few_links_take_no_rounds_of_jobs(spark, monkeypatch):
+    """Every job costs the driver memory; the rounds, for more links than a task takes, keep the same rows."""
+    rng = random.Random(12)
+    rows = []
+    for group in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for copy in range(4):
+            edited = list(words)
+            edited[rng.randrange(200)] = f"x{copy}"
+            rows.append((len(rows), " ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tracker = spark.sparkContext.statusTracker()
+
+    def kept(group):
+        spark.sparkContext.setJobGroup(group, group)
+        out = sorted(r.doc_id for r in N.drop_near_copies(df).collect())
+        return out, len(tracker.getJobIdsForGroup(group))
+
+    out, jobs = kept("few")
+    assert out == list(range(0, 48, 4))
+    assert jobs < 100
+    monkeypatch.setattr(N, "AT_ONCE", 1)
+    assert kept("rounds")[0] == out
+
+
+def test_components_at_once_and_in_rounds(spark):
+    edges = [(f"n{k:03}", f"n{k + 1:03}") for k in range(60) if k % 20 != 19] + [("n000", "n000"), (None, "n001")]
+    df = spark.createDataFrame(edges, "a string, b string").repartition(7)
+    want = {f"n{k:03}": f"n{k // 20 * 20:03}" for k in range(60)}
+    for at_once in (0, 1, 1000):
+        got = N.connected_components(df, "a", "b", at_once=at_once).collect()
+        assert len(got) == 60 and {r.node: r.root for r in got} == want, at_once
+    assert N.connected_components(df.limit(0), "a", "b", at_once=1000).count() == 0
