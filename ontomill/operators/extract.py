@@ -23,7 +23,8 @@ from ontomill.sources.graphs import TripleGraph
 CHUNK_ABOVE, SUMMARISE_ABOVE = 4000, 8000
 CHUNK_SIZE, CHUNK_OVERLAP = 6000, 300
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_FACT = re.compile(r"^((?:[A-Z][\w'-]*\s?)+)\s+((?:is|was|has|had|are|were|[a-z]+s|[a-z]+ed)(?:\s+(?:a|an|the|in|of|by|to|at|on|with|for))*)\s+(.+?)[.!?]?$")
+# a name's words are parted by one blank each: a word of capitals is read in one way alone, not in as many as it has cuts
+_FACT = re.compile(r"^([A-Z][\w'-]*(?:\s[A-Z][\w'-]*)*\s?)\s+((?:is|was|has|had|are|were|[a-z]+s|[a-z]+ed)(?:\s+(?:a|an|the|in|of|by|to|at|on|with|for))*)\s++(.+?)[.!?]?$")
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def simple_statements(text: str) -> list[Statement]:
     for sentence in _SENTENCE.split(text):
         m = _FACT.match(sentence.strip())
         if m and len(m[3]) <= 120:
-            out.append(Statement(m[1].strip(), re.sub(r"\s+(?:a|an|the)$", "", m[2].strip()), re.sub(r"^(?:a|an|the)\s+", "", m[3].strip())))
+            out.append(Statement(m[1].strip(), re.sub(r"(?<!\s)\s+(?:a|an|the)$", "", m[2].strip()), re.sub(r"^(?:a|an|the)\s+", "", m[3].strip())))
     return out
 
 
