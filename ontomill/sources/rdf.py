@@ -1,39 +1,48 @@
 """RDF files as triples and triples as graph tables, and back.
 
-N-Triples and N-Quads are read and written line by line on all tasks. Formats whose statements span lines (Turtle, RDF/XML) are
-parsed a file a row; a file is the unit of work, so big graphs belong in N-Triples.
+N-Triples and N-Quads are read and written line by line on all tasks, and so are Turtle, TriG, RDF/XML and JSON-LD whose lines are
+statements of their own, as ``save`` writes them. Documents whose statements span lines are parsed a file a row; there a file is
+the unit of work, so big graphs belong in lines. A graph's triples are stored once, apart by the table that they go to.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ontomill.plans import expr as E
-from ontomill.plans.ship import ship
+from ontomill.plans.rounds import checkpoint_dir
+from ontomill.plans.ship import arrow_rows, ship
 from ontomill.sources import owl_rdf
 from ontomill.sources.graphs import TABLES, TripleGraph
 
 SCHEMA = "s string, p string, o string, o_kind string, dt string, lang string"
 _TERM = r"(<[^<>\s]*>|_:\S+)"
-_LINE = rf'^\s*{_TERM}\s+(<[^<>\s]*>)\s+(?:{_TERM}|"((?:[^"\\]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9\-]+))?)\s*(?:<[^<>\s]*>\s*|_:\S+\s*)?\.\s*(?:#.*)?$'
+_LITERAL = r'"([^"\\]*(?:\\.[^"\\]*)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9\-]+))?'
+_TRIPLE = rf"^\s*{_TERM}\s+(<[^<>\s]*>)\s+(?:{_TERM}|{_LITERAL})\s*"
+_LINE = _TRIPLE + r"(?:<[^<>\s]*>\s*|_:\S+\s*)?\.\s*(?:#.*)?$"
+_TURTLE_LINE = _TRIPLE + r"\.\s*(?:#.*)?$"
+_GRAPH_LINE = r"^\s*GRAPH\s+<[^<>\s]*>\s*\{(.*)\}\s*$"
 
 
-def _unescaped(c: Column) -> Column:
+def _unescaped(text: Column) -> Column:
+    c = text
     for code, sign in (("\\\\n", "\n"), ("\\\\r", "\r"), ("\\\\t", "\t"), ("\\\\b", "\b"), ("\\\\f", "\f"), ('\\\\"', '"'), ("\\\\'", "'")):
         c = F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*){code}", "$1" + sign)
     # codes are rare: only such rows take the slow way
     c = F.when(c.rlike(_CODE), F.aggregate(F.sequence(F.lit(1), F.size(F.split(c, r"\\[uU]"))), c, _one_code)).otherwise(c)
-    return F.regexp_replace(c, r"\\\\", r"\\")
+    return F.when(text.contains("\\"), F.regexp_replace(c, r"\\\\", r"\\")).otherwise(text)
 
 
 _CODE = r"(?<!\\)(?:\\\\)*\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})"
@@ -49,7 +58,29 @@ def _one_code(text: Column, _: Column) -> Column:
 
 
 def _plain(term: Column) -> Column:
-    return F.regexp_replace(term, "^<|>$", "")
+    return F.when(term.startswith("<"), F.substring(term, F.lit(2), F.length(term) - 2)).otherwise(term)
+
+
+def _parts(line: Column, pattern: str = _LINE) -> Column:
+    """Subject, predicate, object, datatype, language and text of a statement, by one match; of other lines an array of one.
+
+    A line holds no line break, so the parts may be joined by one.
+    """
+    return F.split(F.regexp_replace(line, pattern, "$1\n$2\n$3\n$5\n$6\n$4"), "\n", 6)
+
+
+def _statements(lines: DataFrame) -> DataFrame:
+    """Triples of the lines' ``parts``; other lines are left out."""
+    g = lambda i: F.col("parts")[i]
+    is_literal = g(2) == ""
+    return lines.where(F.size("parts") == 6).select(
+        _plain(g(0)).alias("s"),
+        _plain(g(1)).alias("p"),
+        F.when(is_literal, _unescaped(g(5))).otherwise(_plain(g(2))).alias("o"),
+        F.when(is_literal, "lit").when(g(2).startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
+        F.when(is_literal, F.when(g(3) != "", g(3)).when(g(4) != "", E.RDF + "langString").otherwise(E.XSD + "string")).alias("dt"),
+        F.nullif(g(4), F.lit("")).alias("lang"),
+    )
 
 
 def _blank(line: Column) -> Column:
@@ -67,28 +98,19 @@ def read_ntriples(spark: SparkSession, path: str, strict: bool = False, graphs:
     Lines that aren't statements are left out too (``bad_lines`` lists them), or with ``strict`` end the query with an error
     that names the first. With ``graphs`` a line may stand in a block ``GRAPH <name> { ... }`` of its own.
     """
-    value = F.regexp_replace("value", r"^\s*GRAPH\s+<[^<>\s]*>\s*\{(.*)\}\s*$", "$1") if graphs else F.col("value")
+    value = F.regexp_replace("value", _GRAPH_LINE, "$1") if graphs else F.col("value")
     lines = spark.read.text(path).select(value.alias("value"))
     if strict:
         said = F.raise_error(F.concat(F.lit("no statement: "), F.col("value")))
         lines = lines.where(~_blank(F.col("value"))).select(F.when(F.col("value").rlike(_LINE), F.col("value")).otherwise(said.cast("string")).alias("value"))
-    line = lines.where(F.col("value").rlike(_LINE)).select(*[F.regexp_extract("value", _LINE, i).alias(f"g{i}") for i in range(1, 7)])
-    is_literal = F.col("g3") == ""
-    return line.select(
-        _plain(F.col("g1")).alias("s"),
-        _plain(F.col("g2")).alias("p"),
-        F.when(is_literal, _unescaped(F.col("g4"))).otherwise(_plain(F.col("g3"))).alias("o"),
-        F.when(is_literal, "lit").when(F.col("g3").startswith("_:"), "bnode").otherwise("iri").alias("o_kind"),
-        F.when(is_literal, F.when(F.col("g5") != "", F.col("g5")).when(F.col("g6") != "", E.RDF + "langString").otherwise(E.XSD + "string")).alias("dt"),
-        F.nullif(F.col("g6"), F.lit("")).alias("lang"),
-    )
+    return _statements(lines.select(_parts(F.col("value")).alias("parts")))
 
 
 def _line(t: DataFrame) -> Column:
     def term(c: str) -> Column:
         return F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
 
-    text = F.col("o")
+    text = F.col("o")  # only literals are escaped
     for sign, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         text = F.replace(text, F.lit(sign), F.lit(code))
     tail = F.when(F.col("lang").isNotNull(), F.concat(F.lit("@"), F.col("lang"))).when(F.col("dt") == E.XSD + "string", "").otherwise(F.concat(F.lit("^^<"), F.col("dt"), F.lit(">")))
@@ -103,7 +125,8 @@ def parse_turtle(text: str, file: str = "") -> list[tuple]:
     """Triples of a Turtle document: prefixes, ``a``, lists by ``;`` and ``,``, blank nodes in brackets, collections."""
     prefixes, base, out, at, blank = {}, "", [], 0, 0
     tokens: list[tuple[str, str]] = []
-    while at < len(text.rstrip()):
+    end = len(text.rstrip())
+    while at < end:
         m = _TURTLE.match(text, at)
         if not m:
             if not text[at:].strip() or text[at:].lstrip().startswith("#"):
@@ -337,6 +360,52 @@ PARSERS = {"turtle": parse_turtle, "rdfxml": parse_rdfxml, "jsonld": parse_jsonl
 FORMATS = {"nt": "ntriples", "ntriples": "ntriples", "nq": "ntriples", "nquads": "ntriples", "ttl": "turtle", "turtle": "turtle", "owl": "rdfxml", "rdf": "rdfxml", "xml": "rdfxml", "rdfxml": "rdfxml", "trig": "trig", "n3": "turtle", "jsonld": "jsonld", "json": "jsonld"}
 
 
+_QUOTED = r"(?:\"[^\"<]*\"|'[^'<]*')"
+_XML_OPEN, _XML_END = f'<rdf:RDF xmlns:rdf="{E.RDF}">', "</rdf:RDF>"
+_XML_LINE = rf"^<rdf:Description rdf:(?:about|nodeID)={_QUOTED}><q:([^\s<>/=]+) xmlns:q={_QUOTED}(?: (?:rdf:(?:resource|nodeID|datatype)|xml:lang)={_QUOTED})?(?:/>|>[^<]*</q:\1>)</rdf:Description>$"
+
+
+def _is_lined(spark: SparkSession, path: str, fmt: str) -> bool:
+    """Whether every line of the files is a statement (or node object) of its own, as ``save`` writes them.
+
+    The first lines are asked alone, so that a document that spans lines is found out without reading it twice.
+    """
+    value = F.col("value")
+    if fmt in ("turtle", "trig"):
+        good = _blank(value) | ((F.size(_parts(value, _TURTLE_LINE)) == 6) if fmt == "turtle" else value.rlike(_GRAPH_LINE) & (F.size(_parts(F.regexp_replace(value, _GRAPH_LINE, "$1"), _TURTLE_LINE)) == 6))
+    elif fmt == "rdfxml":
+        good = value.isin(_XML_OPEN, _XML_END) | value.rlike(_XML_LINE)
+    else:
+        good = value.rlike(r"^\s*$") | F.try_parse_json(value).isNotNull()
+    lines = spark.read.text(path)
+    return lines.limit(100).where(~good).isEmpty() and lines.where(~good).isEmpty()
+
+
+def _read_lined(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """Triples of files whose lines stand by themselves, by all tasks."""
+    if fmt in ("turtle", "trig"):
+        return read_ntriples(spark, path, graphs=fmt == "trig")
+    names = ["s", "p", "o", "o_kind", "dt", "lang"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                values = part.column(1).to_pylist()
+                if fmt == "rdfxml":
+                    out = parse_rdfxml("".join([_XML_OPEN, *[v for v in values if v not in (_XML_OPEN, _XML_END)], _XML_END]))
+                else:  # blank nodes without a name take the line's place
+                    files = part.column(0).to_pylist()
+                    out = [t for k, (file, v) in enumerate(zip(files, values, strict=True)) if v.strip() for t in parse_jsonld(v, f"{file} {no + k}")]
+                    no += len(values)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], names)
+
+    place = F.concat_ws(" ", F.input_file_name(), F.spark_partition_id())
+    return arrow_rows(spark.read.text(path).select(place.alias("place"), "value"), rows, SCHEMA)
+
+
 def read_triples(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Triples of RDF files; the format is taken from the path's ending if not given."""
     fmt = FORMATS.get((fmt or path.rsplit(".", 1)[-1]).lower())
@@ -344,17 +413,18 @@ def read_triples(spark: SparkSession, path: str, fmt: str | None = None) -> Data
         raise ValueError(f"unknown format of {path}")
     if fmt == "ntriples":
         return read_ntriples(spark, path)
-    if fmt == "trig":  # a block a line is read by all tasks, as it is written; other documents a file a row
-        lined = spark.read.text(path).where(~_blank(F.col("value")) & ~F.col("value").rlike(r"^\s*GRAPH\s+<[^<>\s]*>\s*\{.*\}\s*$")).isEmpty()
-        if lined:
-            return read_ntriples(spark, path, graphs=True)
+    if _is_lined(spark, path, fmt):
+        return _read_lined(spark, path, fmt)
+    if fmt == "trig":
         fmt = "turtle"
     ship(spark)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, text in zip(batch["path"], batch["value"], strict=True):
-                yield pd.DataFrame(PARSERS[fmt](text, file), columns=["s", "p", "o", "o_kind", "dt", "lang"])
+                out = PARSERS[fmt](text, file)
+                for at in range(0, len(out), 10_000):
+                    yield pd.DataFrame(out[at : at + 10_000], columns=["s", "p", "o", "o_kind", "dt", "lang"])
 
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return files.mapInPandas(rows, SCHEMA)
@@ -371,32 +441,49 @@ ENTITIES = ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty",
 ANNOTATIONS = (E.RDFS + "label", E.RDFS + "comment", E.RDFS + "seeAlso", E.RDFS + "isDefinedBy", E.OWL + "versionInfo")
 
 
+#: What a triple is to a graph; rows with blank nodes, and those of no table, have roles of their own.
+ROLES = ("blank", "type", "pair", "note", "link", "value", "other")
+
+
+def _stored(triples: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[str], DataFrame]]:
+    """The triples, those without blank nodes, and those of a role, from one copy that is stored apart by role."""
+    p, kind = F.col("p"), F.coalesce(F.col("o_kind"), F.lit(""))
+    reserved = [q for q, _, _ in PAIRS.values()] + [E.OWL + "imports", E.RDF + "first", E.RDF + "rest", *owl_rdf.BUILT]
+    role = F.when(F.coalesce(F.col("s").startswith("_:"), F.lit(True)) | (kind == "bnode") | p.isNull(), "blank").when(p == E.RDF + "type", "type").when(p.isin(*[q for q, _, _ in PAIRS.values()]), "pair")
+    role = role.when(p.isin(*ANNOTATIONS), "note").when(p.isin(*reserved), "other").when(kind == "iri", "link").when(kind == "lit", "value").otherwise("other")
+    number = F.create_map(*[F.lit(x) for i, r in enumerate(ROLES) for x in (r, i)])
+    at = f"{checkpoint_dir(triples.sparkSession)}/triples-{uuid.uuid4().hex}"
+    triples.select("s", "p", "o", "o_kind", "dt", "lang", number[role].alias("role")).write.partitionBy("role").parquet(at)
+    kept = triples.sparkSession.read.schema(f"{SCHEMA}, role int").parquet(at)
+    of = lambda name: kept.where(F.col("role") == ROLES.index(name)).drop("role")
+    return kept.drop("role"), kept.where(F.col("role") != 0).drop("role"), of
+
+
 def graph_of(triples: DataFrame) -> TripleGraph:
     """Triples sorted into a graph's tables by their predicates.
 
     Blank nodes that build class expressions, lists and negative assertions become rows of the tables of complex axioms;
-    individuals without a name stay out of the tables.
+    individuals without a name stay out of the tables. The triples are read (and parsed) once and stored by role; a table reads
+    the roles that it is made of.
     """
     spark = triples.sparkSession
-    named = triples.where(~F.col("s").startswith("_:") & (F.coalesce(F.col("o_kind"), F.lit("")) != "bnode"))
-    types = named.where(F.col("p") == E.RDF + "type")
+    triples, named, role = _stored(triples)
+    types = role("type")
     entity = types.where(F.col("o").isin(*[E.OWL + x for x in ENTITIES])).select(F.col("s").alias("iri"), F.expr(f"substring(o, {len(E.OWL) + 1})").alias("kind")).distinct()
     schema_terms = F.col("o").startswith(E.OWL) & (F.col("o") != E.OWL + "Thing") | F.col("o").startswith(E.RDFS) | F.col("o").startswith(E.RDF)
-    reserved = [p for p, _, _ in PAIRS.values()] + [E.RDF + "type", *ANNOTATIONS, E.OWL + "imports", E.RDF + "first", E.RDF + "rest", *owl_rdf.BUILT]
-    rest = named.where(~F.col("p").isin(*reserved))
-    tables = {name: named.where((F.col("p") == p) & (F.col("o_kind") == "iri")).select(F.col("s").alias(a), F.col("o").alias(b)) for name, (p, a, b) in PAIRS.items()}
+    tables = {name: role("pair").where((F.col("p") == p) & (F.col("o_kind") == "iri")).select(F.col("s").alias(a), F.col("o").alias(b)) for name, (p, a, b) in PAIRS.items()}
     tables |= {
         "entity": entity,
         "individuals": entity.where("kind = 'NamedIndividual'").select(F.col("iri").alias("ind")),
         "class_assertion": types.where(~schema_terms).select(F.col("o").alias("cls"), F.col("s").alias("ind")),
-        "obj_assertion": rest.where("o_kind = 'iri'").select("p", "s", "o"),
-        "data_assertion": rest.where("o_kind = 'lit'").select("p", "s", F.col("o").alias("lex"), "dt"),
+        "obj_assertion": role("link").select("p", "s", "o"),
+        "data_assertion": role("value").select("p", "s", F.col("o").alias("lex"), "dt"),
         "characteristic": types.where(F.col("o").isin(*[E.OWL + x for x in CHARACTERISTICS])).select(F.col("s").alias("p"), F.expr(f"substring(o, {len(E.OWL) + 1})").alias("name")),
-        "annotation": named.where(F.col("p").isin(*ANNOTATIONS) & (F.col("o_kind") == "lit")).select("s", "p", F.col("o").alias("value")),
-        "iri_annotation": named.where(F.col("p").isin(*ANNOTATIONS) & (F.col("o_kind") == "iri")).select("s", "p", F.col("o").alias("value")),
+        "annotation": role("note").where("o_kind = 'lit'").select("s", "p", F.col("o").alias("value")),
+        "iri_annotation": role("note").where("o_kind = 'iri'").select("s", "p", F.col("o").alias("value")),
         "language": named.where("lang is not null").select("p", "s", F.col("o").alias("lex"), "lang"),
     }
-    if not triples.where(F.col("s").startswith("_:")).isEmpty() or not triples.where(F.col("p").isin(E.OWL + "hasKey", E.OWL + "disjointUnionOf")).isEmpty():
+    if not role("blank").where(F.col("s").startswith("_:")).isEmpty() or not triples.where(F.col("p").isin(E.OWL + "hasKey", E.OWL + "disjointUnionOf")).isEmpty():
         tables |= owl_rdf.read(triples, tables)
     return TripleGraph(spark, tables)
 
@@ -483,10 +570,13 @@ def _xml_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         lines = [_xml_line(*row) for row in batch[["s", "p", "o", "o_kind", "dt", "lang"]].itertuples(index=False)]
         if lines:
-            yield pd.DataFrame({"value": lines if opened else [f'<rdf:RDF xmlns:rdf="{E.RDF}">', *lines]})
+            yield pd.DataFrame({"value": lines if opened else [_XML_OPEN, *lines]})
             opened = True
     if opened:
-        yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+        yield pd.DataFrame({"value": [_XML_END]})
+
+
+_BREAKS = {"\n": "&#10;", "\r": "&#13;"}
 
 
 def _xml_line(s: str, p: str, o: str, kind: str, dt: str | None, lang: str | None) -> str:
@@ -495,7 +585,7 @@ def _xml_line(s: str, p: str, o: str, kind: str, dt: str | None, lang: str | Non
     tag = f"q:{p[cut:]} xmlns:q={quoteattr(p[:cut])}"
     if kind == "lit":
         extra = f" xml:lang={quoteattr(lang)}" if lang else f" rdf:datatype={quoteattr(dt)}"
-        body = f"<{tag}{extra}>{escape(o).replace(chr(10), '&#10;')}</q:{p[cut:]}>"
+        body = f"<{tag}{extra}>{escape(o, _BREAKS)}</q:{p[cut:]}>"
     else:
         body = f"<{tag} " + (f"rdf:nodeID={quoteattr(o[2:])}" if o.startswith("_:") else f"rdf:resource={quoteattr(o)}") + "/>"
     return f"<rdf:Description {about}>{body}</rdf:Description>"

@@ -9,6 +9,7 @@ from ontomill.plans import expr as E
 from ontomill.plans.expr import XSD, All, And, Card, Class, HasSelf, Literal, Not, OneOf, Or, Prop, Restricted, Some, axiom
 from ontomill.sources import rdf
 from ontomill.sources.graphs import TABLES
+from tests.family import graph
 
 NS = "http://x.org/o#"
 A, B, C, D = (Class(NS + x) for x in "ABCD")
@@ -72,3 +73,29 @@ def test_codes_and_bad_lines(spark, tmp_path):
     assert [r.value for r in rdf.bad_lines(spark, f"{tmp_path}/a.nt").collect()] == ["broken"]
     with pytest.raises(Exception, match="no statement: broken"):
         rdf.read_ntriples(spark, f"{tmp_path}/a.nt", strict=True).collect()
+
+
+@pytest.mark.parametrize("fmt, ending", [("turtle", "ttl"), ("rdfxml", "rdf"), ("jsonld", "jsonld"), ("nquads", "nq")])
+def test_saved_files_are_read_by_all_tasks_and_once(spark, tmp_path, fmt, ending):
+    """A file of statements by lines is split among tasks, and the loaded graph's tables don't read it again."""
+    odd = ["a & <b> 'c' \"d\"", "x\ry\nz\\", "]]> {} . # <u:p>", "   é😀"]
+    rows = [("u:p#q", f"u:s{i}", odd[i % 4] + str(i), XSD + "string") for i in range(400)]
+    g = graph(spark, data_assertion=rows, obj_assertion=[("u:l", "u:s'1", "u:o&2")])
+    at = f"{tmp_path}/{fmt}"
+    rdf.save(g.replaced(data_assertion=g.table("data_assertion").coalesce(1)), at, fmt)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        t = rdf.read_triples(spark, at, ending)
+        assert t.rdd.getNumPartitions() > len([f for f in (tmp_path / fmt).iterdir() if f.name.startswith("part-")])
+        back = rdf.triples_of(rdf.load(spark, at, ending))
+        assert not any(at in f for f in back.inputFiles())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in rdf.triples_of(g).collect()}
+
+
+def test_blocks_of_many_statements_lose_none(spark, tmp_path):
+    """A TriG block with two statements in one line is no line that stands by itself."""
+    (tmp_path / "a.trig").write_text("GRAPH <u:g> { <u:a> <u:p> <u:b> . <u:c> <u:p> <u:d> . }\n")
+    assert {(r.s, r.o) for r in rdf.read_triples(spark, f"{tmp_path}/a.trig").collect()} == {("u:a", "u:b"), ("u:c", "u:d")}
