@@ -1,8 +1,9 @@
 """Rule-based materialisation: the OWL 2 RL consequences of a triple graph, by joins to a fixpoint.
 
 Sound and, for the RL profile's rules listed here, complete; there is no reasoning by cases and there are no unnamed
-individuals. Closures of the schema are computed once, as data doesn't change them; rules on data then run semi-naive, each
-round joining what is new with what is known, until nothing is new.
+individuals. What follows from one statement alone (sub-properties, inverses, symmetry, subclasses, domains, ranges) is closed
+in the schema, once, and is looked up row by row; only rules over two statements and more (chains, transitive and functional
+properties, sameness) run in rounds, semi-naive. No type gives a link, so types come after the links have settled.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.plans import expr as E
-from ontomill.plans.graph import connected_components, transitive_closure
+from ontomill.plans.graph import HELD, connected_components, transitive_closure
 from ontomill.operators.retrieval import Reasoner
-from ontomill.plans.rounds import durable
+from ontomill.plans.rounds import dealt, durable, maybe_broadcast, stored
 from ontomill.operators.schema import Schema
 from ontomill.plans.syntax import parse_dl
-from ontomill.sources.graphs import TripleGraph
+from ontomill.sources.graphs import SMALL, SMALL_CLOSURE, TripleGraph, closed_pairs
 
 TYPES, LINKS = ["cls", "ind"], ["p", "s", "o"]
 
@@ -27,79 +28,235 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames).distinct()
 
 
+class _Schema:
+    """What one statement says: ``turn`` the links that follow from a link (p to q, turned round or not), ``means`` the classes that follow.
+
+    ``turns`` holds the same as ``turn`` by property if the schema is small, else None.
+    """
+
+    def __init__(self, graph: TripleGraph):
+        t = graph.tables
+        inv = t["inverse_prop"].select("p", "q")
+        both = inv.unionAll(inv.select("q", "p")).unionAll(t["characteristic"].where("name = 'SymmetricProperty'").select("p", "p")).where("p is not null and q is not null")
+        ends = t["domain"].select("p", "cls", F.lit(">").alias("end")).unionAll(t["range"].select("p", "cls", F.lit("<"))).where("p is not null and cls is not null")
+        self.turns: dict[str, set[tuple[str, bool]]] | None = None
+        self.spoken: list[str] | None = None
+        graph.closure("sub_class"), graph.closure("sub_prop")
+        above, below = (graph._pairs_of[(name, graph.version)] for name in ("sub_class", "sub_prop"))  # noqa: SLF001
+        rows = [df.limit(SMALL + 1).collect() for df in (both, ends)]
+        if above is None or below is None or max(map(len, rows)) > SMALL or not self._held(graph, above, below, *rows):
+            self._joined(graph, both, ends)
+
+    def _held(self, graph: TripleGraph, above: set, below: set, both: list, ends: list) -> bool:
+        """A small schema is closed on the driver; False if its closure is too large."""
+        pairs = closed_pairs([(x + a, x + b) for a, b in below for x in "+-"] + [(x + p, y + q) for p, q in both for x, y in ("+-", "-+")])
+        if pairs is None:
+            return False
+        self.turns = {}
+        for a, b in pairs:
+            if a[0] == "+" and a != b:
+                self.turns.setdefault(a[1:], set()).add((b[1:], b[0] == "-"))
+        over: dict[str, set[str]] = {}
+        for a, b in above:
+            over.setdefault(a, set()).add(b)
+        said: dict[tuple[str, str], set[str]] = {}
+        for p, cls, end in ends:
+            said.setdefault((end, p), set()).update({cls, *over.get(cls, ())})
+        means = {"=" + a: set(b) for a, b in over.items()}
+        lower: dict[str, set[tuple[str, bool]]] = {}
+        for of, to in self.turns.items():
+            for q, flip in to:
+                lower.setdefault(q, set()).add((of, flip))
+        under: dict[str, set[str]] = {}
+        for a, b in below:
+            under.setdefault(b, set()).add(a)
+        for (end, p), classes in said.items():
+            for of, flip in {(p, False), *lower.get(p, ())}:
+                means.setdefault(("<" if end == ">" else ">") + of if flip else end + of, set()).update(classes)
+            for of in {p, *under.get(p, ())} if end == ">" else ():
+                means.setdefault("." + of, set()).update(classes)
+        if sum(map(len, means.values())) > SMALL_CLOSURE:
+            self.turns = None
+            return False
+        self.turn = F.broadcast(graph.spark.createDataFrame([(p, sorted(to)) for p, to in sorted(self.turns.items())], "of string, to array<struct<p: string, flip: boolean>>"))
+        self.means = F.broadcast(graph.spark.createDataFrame([(k, sorted(v)) for k, v in sorted(means.items())], "token string, classes array<string>"))
+        self.spoken = sorted({k[1:] for k in means if k[0] != "="})
+        return True
+
+    def _joined(self, graph: TripleGraph, both: DataFrame, ends: DataFrame) -> None:
+        """The same by joins, for a schema of any size."""
+        up = graph.schema_edges("sub_prop").select("sub", "sup")
+        signed = lambda df, a, b, *signs: [df.select(F.concat(F.lit(x), a).alias("sub"), F.concat(F.lit(y), b).alias("sup")) for x, y in signs]
+        edges = reduce(DataFrame.unionAll, [*signed(up, "sub", "sup", "++", "--"), *signed(both, "p", "q", "+-", "-+")])
+        found = transitive_closure(edges, "sub", "sup").where("sub like '+%' and sub <> sup")
+        self.turn = durable(found.groupBy(F.expr("substring(sub, 2)").alias("of")).agg(F.collect_set(F.struct(F.expr("substring(sup, 2)").alias("p"), F.col("sup").startswith("-").alias("flip"))).alias("to")))
+        above = graph.closure("sub_class").select("sub", "sup")
+        ends = ends.unionAll(ends.join(above, F.col("cls") == F.col("sub")).select("p", F.col("sup"), "end")).distinct()
+        other = F.when(F.col("flip"), F.translate("end", "<>", "><")).otherwise(F.col("end"))
+        tokens = [ends.select(F.concat("end", "p").alias("token"), "cls"), self.turn.select("of", F.inline("to")).join(ends, "p").select(F.concat(other, "of"), "cls")]
+        values = ends.where("end = '>'").select("p", "cls")
+        below = graph.closure("sub_prop").select(F.col("sub").alias("of"), F.col("sup").alias("p"))
+        tokens += [values.select(F.concat(F.lit("."), "p"), "cls"), below.join(values, "p").select(F.concat(F.lit("."), "of"), "cls")]
+        tokens.append(above.select(F.concat(F.lit("="), "sub"), "sup"))
+        self.means = durable(reduce(DataFrame.unionAll, tokens).groupBy("token").agg(F.collect_set("cls").alias("classes")))
+
+    def closed(self, links: DataFrame, props: list[str] | None = None) -> DataFrame:
+        """Links and all that each gives by itself, with repeats; of the given properties alone if there are any."""
+        if props is not None and self.turns is not None:
+            links = links.where(F.col("p").isin(*{*props, *(p for p, to in self.turns.items() if any(q in props for q, _ in to))}))
+        own = F.array(F.struct(F.col("p"), F.lit(False).alias("flip")))
+        each = links.join(self.turn, F.col("p") == F.col("of"), "left").select("s", "o", F.explode(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, "to"))).alias("t"))
+        out = each.select(F.col("t.p").alias("p"), F.when(F.col("t.flip"), F.col("o")).otherwise(F.col("s")).alias("s"), F.when(F.col("t.flip"), F.col("s")).otherwise(F.col("o")).alias("o"))
+        return out if props is None else out.where(F.col("p").isin(*props))
+
+    def classes(self, types: DataFrame, links: DataFrame, data: DataFrame, up: DataFrame | None = None) -> DataFrame:
+        """``cls, ind``, distinct: stated classes, those above them, and those that links and values say of their ends.
+
+        An individual's classes follow from the set of what is said of it. There are few such sets, so the classes of each set are
+        found once and looked up: classes are never sorted or compared individual by individual. ``up`` (node, root) tells
+        individuals that are the same, of which the same is said.
+        """
+        said, values = links, data
+        if self.spoken is not None:
+            said, values = (x.where(F.col("p").isin(*self.spoken)) for x in (links, data))
+        tell = lambda df, mark, of, ind: df.select(F.concat(F.lit(mark), of).alias("token"), F.col(ind).alias("ind"))
+        rows = reduce(DataFrame.unionAll, [tell(types, "=", "cls", "ind"), tell(said, ">", "p", "s"), tell(said, "<", "p", "o"), tell(values, ".", "p", "s")])
+        n = types.count() + 2 * said.count() + values.count()
+        rows = dealt(rows.where("token is not null and ind is not null"), n, "ind").distinct()
+        if up is not None:
+            rows = stored(rows)
+            of_root = rows.join(up, F.col("ind") == F.col("node")).select("token", "root").distinct()
+            rows = dealt(rows.unionAll(of_root.join(up, "root").select("token", "node")), n, "ind").distinct()
+        met = stored(rows.groupBy("ind").agg(F.sort_array(F.collect_set("token")).alias("tokens")))
+        sets = met.select("tokens").distinct()
+        own = F.when(F.col("token").startswith("="), F.array(F.expr("substring(token, 2)"))).otherwise(F.array().cast("array<string>"))
+        each = sets.select("tokens", F.explode("tokens").alias("token")).join(self.means, "token", "left")
+        each = each.select("tokens", F.explode(F.concat(own, F.coalesce("classes", F.array().cast("array<string>")))).alias("cls"))
+        known = stored(each.groupBy("tokens").agg(F.collect_set("cls").alias("classes")))
+        size = known.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens") + F.size("classes")), F.lit(0))).first()
+        return met.join(maybe_broadcast(known, size[0] + size[1], 120), "tokens").select(F.explode("classes").alias("cls"), "ind")
+
+
 def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
     """The graph with inferred class assertions, links, and same-as pairs.
 
     Rules: subclasses (also of expressions that can only grow), sub-properties, equivalences, inverses, symmetric and transitive properties, chains, domains and ranges,
     functional and inverse functional properties (individuals become the same), and replacement of same individuals.
     """
-    t = graph.tables
-    types, links = durable(t["class_assertion"].select(*TYPES).distinct()), durable(t["obj_assertion"].select(*LINKS).distinct())
-    data = t["data_assertion"].select("p", "s", "lex", "dt").distinct()
-    up_cls, up_prop = graph.closure("sub_class"), graph.closure("sub_prop")
+    t, schema = graph.tables, _Schema(graph)
+    up_prop = graph.closure("sub_prop")
+    data = t["data_assertion"].select("p", "s", "lex", "dt")
     data = data.unionAll(data.join(up_prop, data["p"] == up_prop["sub"]).select(F.col("sup").alias("p"), "s", "lex", "dt")).distinct()
-    inv = t["inverse_prop"]
-    inv = inv.select("p", "q").unionAll(inv.select(F.col("q").alias("p"), F.col("p").alias("q")))
-    marked = lambda name: t["characteristic"].where(F.col("name") == name).select(F.col("p").alias("m"))
-    inv = inv.unionAll(marked("SymmetricProperty").select("m", "m")).distinct()
-    dom, ran = t["domain"].distinct(), t["range"].distinct()
-    same = t["same_as"].select("a", "b")
-    new_types, new_links = types, links
-    # what a link or a value says of its subject without any other fact
-    new_types = _union([new_types, data.join(dom, "p").select("cls", F.col("s").alias("ind"))])
-    new_types = durable(new_types)
-    types = new_types
+    marked = _marked(graph, "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty")
     chains, rules = [(r.p, list(r.chain)) for r in graph.table("prop_chain").collect()], complex_rules(graph)
-    known_same, first = -1, True
+    same = t["same_as"].select("a", "b")
+    sure = any(not isinstance(marked[k], list) or marked[k] for k in ("FunctionalProperty", "InverseFunctionalProperty")) or not same.isEmpty()
+    # links: what is stated and what rounds add; whatever a link gives by itself is looked up when it is read
+    base = t["obj_assertion"].select(*LINKS)
+    new, known_same, up, first = base, -1, None, True
     for _ in range(max_rounds):
-        found_types = [new_types.join(up_cls, new_types["cls"] == up_cls["sub"]).select(F.col("sup").alias("cls"), "ind")]
-        found_types.append(new_links.join(dom, "p").select("cls", F.col("s").alias("ind")))
-        found_types.append(new_links.join(ran, "p").select("cls", F.col("o").alias("ind")))
-        found_links = [new_links.join(up_prop, new_links["p"] == up_prop["sub"]).select(F.col("sup").alias("p"), "s", "o")]
-        found_links.append(new_links.join(inv.withColumnRenamed("p", "of"), F.col("p") == F.col("of")).select(F.col("q").alias("p"), F.col("o").alias("s"), F.col("s").alias("o")))
-        found_links += _transitive(new_links, links, marked("TransitiveProperty"))
-        found_links += _chains(chains, new_links, links, first)
-        found_types += [known.select(F.lit(sup).alias("cls"), "ind") for sup, known in _complex(graph, rules, types, links, data)]
-        same_now = durable(_union([same, *_functional(links, new_links, marked("FunctionalProperty"), "s", "o"), *_functional(links, new_links, marked("InverseFunctionalProperty"), "o", "s")]))
-        now = same_now.count()
-        # statements are copied over the same individuals: what is new, or, when more have become the same, all
-        more_types, more_links, same = _replaced(*((types, links) if now != known_same else (new_types, new_links)), same_now)
-        known_same, first = now if same is same_now else same.count(), False
-        new_types = durable(_union([*found_types, *more_types]).join(types, TYPES, "left_anti"))
-        new_links = durable(_union([*found_links, *more_links]).join(links, LINKS, "left_anti"))
-        if new_types.isEmpty() and new_links.isEmpty():
+        fresh = None if first or schema.turns is None else {r.p for r in new.select("p").distinct().limit(SMALL).collect()}
+        fresh = None if fresh is None or len(fresh) == SMALL else fresh | {q for p in fresh for q, _ in schema.turns.get(p, ())}
+        found = [*_transitive(schema, new, base, marked["TransitiveProperty"], fresh, first), *_chains(schema, chains, new, base, fresh, first)]
+        heads = [*marked["TransitiveProperty"], *(p for p, _ in chains)] if isinstance(marked["TransitiveProperty"], list) else None
+        if sure:
+            every, recent = schema.closed(base), schema.closed(new)
+            same = stored(_union([same, *_functional(every, recent, marked["FunctionalProperty"], "s", "o"), *_functional(every, recent, marked["InverseFunctionalProperty"], "o", "s")]))
+            now = same.count()
+            # links are copied over the same individuals: what is new, or, when more have become the same, all
+            if now:
+                if now != known_same:
+                    up, same = _groups(same, now)
+                found += _copied(base if now != known_same else new, up)
+                known_same, heads = same.count(), None
+        if not found:
+            break
+        made = reduce(DataFrame.unionAll, found).distinct()
+        new = stored(made.join(schema.closed(base, heads), LINKS, "left_anti"))
+        if new.isEmpty():
             break
-        types, links = durable(types.unionAll(new_types)), durable(links.unionAll(new_links))
+        base, first = base.unionAll(new), False
     else:
         raise RuntimeError("materialisation did not settle")
-    inds = _union([graph.table("individuals").select("ind"), types.select("ind"), links.select("s"), links.select("o"), data.select("s")])
-    return graph.replaced(individuals=inds, class_assertion=types, obj_assertion=links, data_assertion=data, same_as=same)
+    n = schema.closed(base).count()
+    links = dealt(schema.closed(base), n, *LINKS).distinct()
+    types = _types(graph, schema, rules, base, links, data, up, max_rounds)
+    inds = reduce(DataFrame.unionAll, [graph.table("individuals").select("ind"), types.select("ind"), base.select("s"), base.select("o"), data.select("s")])
+    out = graph.replaced(individuals=dealt(inds, 2 * n, "ind").distinct(), class_assertion=types, obj_assertion=links, data_assertion=data, same_as=same)
+    out.complete = True
+    return out
+
+
+def _types(graph: TripleGraph, schema: _Schema, rules: list, base: DataFrame, links: DataFrame, data: DataFrame, up: DataFrame | None, max_rounds: int) -> DataFrame:
+    """All class assertions, after the links have settled: in one pass, or in rounds where expressions give classes."""
+    t = graph.tables
+    types = schema.classes(t["class_assertion"].select(*TYPES), base, t["data_assertion"].select("p", "s"), up)
+    if not rules:
+        return types
+    none = graph.spark.createDataFrame([], "p string, s string, o string")
+    types, links = stored(types), stored(links)
+    for _ in range(max_rounds):
+        given = stored(_union([known.select(F.lit(sup).alias("cls"), "ind") for sup, known in _complex(graph, rules, types, links, data)]))
+        new = stored(schema.classes(given, none, none, up).join(types, TYPES, "left_anti"))
+        if new.isEmpty():
+            return types
+        types = stored(types.unionAll(new))
+    raise RuntimeError("materialisation did not settle")
+
 
+def _marked(graph: TripleGraph, *names: str) -> dict[str, list[str] | DataFrame]:
+    """The properties of each characteristic, as a list if there are few, else as a column ``m``."""
+    said = graph.table("characteristic").where(F.col("name").isin(*names)).select("p", "name")
+    rows = said.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        return {k: said.where(F.col("name") == k).select(F.col("p").alias("m")) for k in names}
+    return {k: sorted({r.p for r in rows if r.name == k}) for k in names}
 
-def _transitive(new: DataFrame, all_: DataFrame, props: DataFrame) -> list[DataFrame]:
-    """New paths of two links over a transitive property, one of them new."""
-    a = new.join(props, F.col("p") == F.col("m"), "left_semi")
-    b = all_.join(props, F.col("p") == F.col("m"), "left_semi")
-    forward = a.select("p", "s", F.col("o").alias("x")).join(b.select("p", F.col("s").alias("x"), "o"), ["p", "x"])
-    backward = b.select("p", "s", F.col("o").alias("x")).join(a.select("p", F.col("s").alias("x"), "o"), ["p", "x"])
-    return [forward.select(*LINKS), backward.select(*LINKS)]
 
+def _of(links: DataFrame, props: list[str] | DataFrame) -> DataFrame:
+    return links.where(F.col("p").isin(*props)) if isinstance(props, list) else links.join(props, F.col("p") == F.col("m"), "left_semi")
 
-def _chains(chains: list[tuple[str, list[str]]], new: DataFrame, links: DataFrame, first: bool) -> list[DataFrame]:
+
+def _transitive(schema: _Schema, new: DataFrame, base: DataFrame, props: list[str] | DataFrame, fresh: set[str] | None, first: bool) -> list[DataFrame]:
+    """New paths of two links over a transitive property, one of them new.
+
+    Only links that begin where another ends can be second; these are picked first, so that a hub's many links are joined with
+    the few that go on from it.
+    """
+    if isinstance(props, list):
+        props = [p for p in props if fresh is None or p in fresh]
+        if not props:
+            return []
+        a, b = schema.closed(new, props), schema.closed(base, props)
+    else:
+        a, b = _of(schema.closed(new), props), _of(schema.closed(base), props)
+    out = []
+    for left, right in ((a, b),) if first else ((a, b), (b, a)):
+        ends = stored(left.select("p", F.col("o").alias("x")).distinct())
+        second = stored(right.select("p", F.col("s").alias("x"), "o").join(maybe_broadcast(ends, ends.count(), 160), ["p", "x"], "left_semi").distinct())
+        n = second.count()
+        if n:
+            out.append(left.select("p", "s", F.col("o").alias("x")).join(maybe_broadcast(second, n, 240), ["p", "x"]).select(*LINKS))
+    return out
+
+
+def _chains(schema: _Schema, chains: list[tuple[str, list[str]]], new: DataFrame, base: DataFrame, fresh: set[str] | None, first: bool) -> list[DataFrame]:
     """Links that property chains give over at least one new link; the chains are schema, a join for each step of each.
 
     A step may be an inverse property, marked with ``^``.
     """
     def step(table: DataFrame, q: str, i: int) -> DataFrame:
         ends = ("o", "s") if q.startswith("^") else ("s", "o")
-        return table.where(F.col("p") == q.lstrip("^")).select(F.col(ends[0]).alias(f"n{i}"), F.col(ends[1]).alias(f"n{i + 1}"))
+        return schema.closed(table, [q.lstrip("^")]).select(F.col(ends[0]).alias(f"n{i}"), F.col(ends[1]).alias(f"n{i + 1}"))
 
     out = []
     for p, chain in chains:
-        for fresh in range(1 if first else len(chain)):  # in the first round all links are new
+        for at in range(1 if first else len(chain)):  # in the first round all links are new
+            if fresh is not None and chain[at].lstrip("^") not in fresh:
+                continue
             path = None
             for i, q in enumerate(chain):
-                part = step(new if i == fresh else links, q, i)
+                part = step(new if i == at else base, q, i)
                 path = part if path is None else path.join(part, f"n{i}").select("n0", f"n{i + 1}").distinct()
             out.append(path.select(F.lit(p).alias("p"), F.col("n0").alias("s"), F.col(f"n{len(chain)}").alias("o")))
     return out
@@ -132,52 +289,66 @@ def _complex(graph: TripleGraph, rules: list[tuple[E.Node, str]], types: DataFra
     return [(sup, r.instances(c)) for c, sup in rules]
 
 
-def _functional(links: DataFrame, new: DataFrame, props: DataFrame, key: str, value: str) -> list[DataFrame]:
+def _functional(links: DataFrame, new: DataFrame, props: list[str] | DataFrame, key: str, value: str) -> list[DataFrame]:
     """Pairs of values that a functional property makes the same: each with the least of its key, so a key gives no square.
 
     Only keys that a new link touches are looked at.
     """
-    touched = new.join(props, F.col("p") == F.col("m"), "left_semi").select("p", key).distinct()
+    if isinstance(props, list) and not props:
+        return []
+    touched = _of(new, props).select("p", key).distinct()
     own = links.join(touched, ["p", key], "left_semi")
     least = own.groupBy("p", F.col(key).alias("k")).agg(F.min(value).alias("a"), F.max(value).alias("z")).where("a <> z")
     pairs = own.join(least.withColumnRenamed("p", "lp"), (F.col("p") == F.col("lp")) & (F.col(key) == F.col("k"))).where(F.col(value) != F.col("a"))
     return [pairs.select("a", F.col(value).alias("b"))]
 
 
-def _replaced(types: DataFrame, links: DataFrame, same: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Statements copied to the least of each group of same individuals and back to its members; nothing without such pairs."""
-    if same.isEmpty():
-        return [], [], same
-    parts = durable(connected_components(same, "a", "b"))
-    up = parts.select(F.col("node"), F.col("root"))
-    t = types.join(up, types["ind"] == up["node"]).select("cls", F.col("root").alias("ind"))
-    t_all = t.join(up.withColumnRenamed("root", "r"), F.col("ind") == F.col("r")).select("cls", F.col("node").alias("ind"))
-    s_up = links.join(up, links["s"] == up["node"]).select("p", F.col("root").alias("s"), "o")
+def _groups(same: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """``node, root`` of the groups of same individuals, and the pairs of each least one with the others."""
+    parts = stored(connected_components(same, "a", "b", at_once=HELD))
+    return maybe_broadcast(parts, 2 * rows, 160), parts.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
+def _copied(links: DataFrame, up: DataFrame) -> list[DataFrame]:
+    """Links copied to the least of each group of same individuals and back to its members."""
+    s_up = links.join(up, links["s"] == up["node"]).select("p", F.col("root").alias("s"), "o").distinct()
     s_all = s_up.join(up.withColumnRenamed("root", "r"), F.col("s") == F.col("r")).select("p", F.col("node").alias("s"), "o")
-    o_up = links.join(up, links["o"] == up["node"]).select("p", "s", F.col("root").alias("o"))
+    o_up = links.join(up, links["o"] == up["node"]).select("p", "s", F.col("root").alias("o")).distinct()
     o_all = o_up.join(up.withColumnRenamed("root", "r"), F.col("o") == F.col("r")).select("p", "s", F.col("node").alias("o"))
-    pairs = parts.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    return [t, t_all], [s_up, s_all, o_up, o_all], pairs
+    return [s_all, o_all]  # the least one is a member of its group
 
 
 def inconsistencies(graph: TripleGraph) -> DataFrame:
     """``rule, subject``: what contradicts the axioms in a materialised graph; empty means that no rule found anything."""
     t = graph.tables
-    types, links = t["class_assertion"].distinct(), t["obj_assertion"].distinct()
-    marked = lambda name: t["characteristic"].where(F.col("name") == name).select(F.col("p").alias("m"))
-    other = types.select(F.col("cls").alias("cls2"), F.col("ind").alias("ind2"))
-    pair = types.join(t["disjoint_class"], F.col("cls") == F.col("a")).join(other, (F.col("b") == F.col("cls2")) & (F.col("ind") == F.col("ind2")))
-    back = links.select(F.col("p").alias("p2"), F.col("s").alias("o2"), F.col("o").alias("s2"))
-    twin = links.select(F.col("p").alias("p2"), F.col("s").alias("s2"), F.col("o").alias("o2"))
-    asym = links.join(marked("AsymmetricProperty"), F.col("p") == F.col("m"), "left_semi").join(back, (F.col("p") == F.col("p2")) & (F.col("s") == F.col("s2")) & (F.col("o") == F.col("o2")), "left_semi")
-    irr = links.join(marked("IrreflexiveProperty"), F.col("p") == F.col("m"), "left_semi").where("s = o")
-    dis = links.join(t["disjoint_prop"], F.col("p") == F.col("a")).join(twin, (F.col("b") == F.col("p2")) & (F.col("s") == F.col("s2")) & (F.col("o") == F.col("o2")), "left_semi")
+    types, links = t["class_assertion"], t["obj_assertion"]
+    marked = _marked(graph, "AsymmetricProperty", "IrreflexiveProperty")
+    few = lambda df: rows if len(rows := df.limit(SMALL + 1).collect()) <= SMALL else None
+
+    def twice(rows: DataFrame, column: str, pairs: DataFrame, keys: list[str]) -> DataFrame:
+        """Rows with ``a`` of a pair in a column whose keys have a row with ``b``: only rows of the pairs' names meet."""
+        known = few(pairs)
+        first, second = rows, rows
+        if known is not None:
+            if not known:
+                return rows.limit(0)
+            first, second = (rows.where(F.col(column).isin(*{r[i] for r in known})) for i in ("a", "b"))
+            pairs = F.broadcast(pairs)
+        first = first.join(pairs, F.col(column) == F.col("a")).select(*keys, F.col("b").alias(column))
+        return first.join(second, [column, *keys], "left_semi")
+
+    clash = twice(types, "cls", t["disjoint_class"].select("a", "b"), ["ind"])
+    one_way = _of(links, marked["AsymmetricProperty"])
+    asym = one_way.join(one_way.select("p", F.col("o").alias("s"), F.col("s").alias("o")), LINKS, "left_semi")
+    irr = _of(links, marked["IrreflexiveProperty"]).where("s = o")
+    dis = twice(links, "p", t["disjoint_prop"].select("a", "b"), ["s", "o"])
     neg = links.join(t["neg_obj_assertion"], LINKS, "left_semi")
     negd = t["data_assertion"].join(t["neg_data_assertion"], ["p", "s", "lex", "dt"], "left_semi")
     same = t["same_as"].select("a", "b")
     both = same.unionAll(same.select("b", "a")).join(t["different_from"], ["a", "b"], "left_semi")
-    found = [("nothing", types.where(F.col("cls") == E.NOTHING.iri), "ind"), ("disjoint classes", pair, "ind"), ("asymmetric", asym, "s"), ("irreflexive", irr, "s"), ("disjoint properties", dis, "s"), ("negative assertion", neg, "s"), ("negative assertion", negd, "s"), ("same and different", both, "a")]
-    return _union([df.select(F.lit(rule).alias("rule"), F.col(c).alias("subject")) for rule, df, c in found])
+    found = [("nothing", types.where(F.col("cls") == E.NOTHING.iri), "ind"), ("disjoint classes", clash, "ind"), ("asymmetric", asym, "s"), ("irreflexive", irr, "s"), ("disjoint properties", dis, "s"), ("negative assertion", neg, "s"), ("negative assertion", negd, "s"), ("same and different", both, "a")]
+    # dealt before they are compared: no task of a scan holds what it finds
+    return reduce(DataFrame.unionAll, [df.select(F.lit(rule).alias("rule"), F.col(c).alias("subject")) for rule, df, c in found]).repartition("rule", "subject").distinct()
 
 
 def is_entailed(graph: TripleGraph, a: E.Axiom) -> bool:

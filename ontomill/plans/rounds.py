@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder as Parquet: computed once (a checkpoint computes its last stage twice), and read by column."""
+    at = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+#: Rows of a task that sorts or aggregates what it holds.
+TASK_ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over as many tasks as its rows ask for: an aggregate over them takes the same memory at any size."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, bound_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with a broadcast hint if ``rows`` times ``row_bytes`` is within the bound, else ``df`` for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= bound_bytes else df

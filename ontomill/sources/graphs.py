@@ -7,7 +7,7 @@ kind, whose keys are IRIs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from ontomill.functions.literals import Value
 from ontomill.plans import expr as E
 from ontomill.plans.expr import Prop
 from ontomill.plans.graph import transitive_closure
-from ontomill.plans.rounds import durable
+from ontomill.plans.rounds import durable, stored
 
 
 #: A table, or what reads it when a query first touches it.
@@ -226,8 +226,11 @@ SMALL, SMALL_CLOSURE = 20_000, 500_000
 def small_closure(edges: DataFrame) -> set[tuple[str, str]] | None:
     """All pairs of names joined by a path, if the schema is small; else None."""
     rows = edges.limit(SMALL + 1).collect()
-    if len(rows) > SMALL:
-        return None
+    return None if len(rows) > SMALL else closed_pairs(rows)
+
+
+def closed_pairs(rows: Iterable[tuple[str, str]]) -> set[tuple[str, str]] | None:
+    """All pairs of names joined by a path of the given edges; None if there are over ``SMALL_CLOSURE``."""
     up: dict[str, set[str]] = {}
     for a, b in rows:
         up.setdefault(a, set()).add(b)
@@ -254,6 +257,8 @@ class TripleGraph(Graph):
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.version = 0
+        #: Whether ``individuals`` holds every individual of the other tables, once, as after materialisation.
+        self.complete = False
         given = tables or {}
         self.tables = {name: given[name] if name in given else spark.createDataFrame([], schema) for name, schema in TABLES.items()}
         self._closures: dict[tuple[str, int], DataFrame] = {}
@@ -272,6 +277,9 @@ class TripleGraph(Graph):
         if key in self._closures:
             return self._closures[key]
         t = self.tables
+        if self.complete:
+            self._closures[key] = stored(t["individuals"].select("ind").where("ind is not null"))
+            return self._closures[key]
         found = t["individuals"].select("ind").unionAll(t["class_assertion"].select("ind")).unionAll(t["obj_assertion"].select("s")).unionAll(t["obj_assertion"].select("o")).unionAll(t["data_assertion"].select("s"))
         self._closures[key] = durable(found.where("ind is not null").distinct())
         return self._closures[key]

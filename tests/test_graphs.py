@@ -76,6 +76,42 @@ def test_materialise(spark):
         M.inferred(g, ("Nothing",))
 
 
+def test_materialise_equals_a_naive_fixpoint(spark):
+    """Every rule at once, among few names so that they meet, against loops over Python sets; no type or link comes twice."""
+    said = dict(
+        class_assertion=[("C0", "a"), ("C1", "b"), ("C3", "h")], sub_class=[("C0", "C1"), ("C1", "C2"), ("C4", "C5")], equivalent_class=[("C2", "C6")], obj_assertion=[("p", "a", "b"), ("p", "b", "c"), ("q", "c", "d"), ("r", "d", "e"), ("f", "a", "x"), ("f", "a", "y"), ("q", "y", "z"), ("n", "g", "h")],
+        sub_prop=[("p", "t"), ("q", "t"), ("d", "e")], equivalent_prop=[("q", "q2")], inverse_prop=[("r", "s"), ("q2", "u")], characteristic=[("t", "TransitiveProperty"), ("n", "SymmetricProperty"), ("f", "FunctionalProperty")], domain=[("t", "D"), ("u", "C0"), ("e", "C4")], range=[("r", "R")], prop_chain=[("k", ["p", "^s"]), ("k", ["q", "r"])], same_as=[("e", "e2")], data_assertion=[("d", "v", "1", XSD + "integer")],
+    )
+    up = lambda pairs: {(a, b) for a, b in pairs} | {(b, a) for a, b in said["equivalent_class" if pairs is said["sub_class"] else "equivalent_prop"]} | set(said["equivalent_class" if pairs is said["sub_class"] else "equivalent_prop"])
+    subs, props = up(said["sub_class"]), up(said["sub_prop"])
+    inverse = {*said["inverse_prop"], *((b, a) for a, b in said["inverse_prop"]), ("n", "n")}
+    types, links, same, values = set(said["class_assertion"]), set(said["obj_assertion"]), {("e", "e2"), ("e2", "e")}, {("d", "v"), ("e", "v")}
+    while True:
+        size = len(types), len(links), len(same)
+        types |= {(b, i) for c, i in types for a, b in subs if a == c} | {(c, s) for p, s, _ in links for q, c in said["domain"] if q == p} | {(c, o) for p, _, o in links for q, c in said["range"] if q == p} | {(c, s) for p, s in values for q, c in said["domain"] if q == p}
+        links |= {(b, s, o) for p, s, o in links for a, b in props if a == p} | {(b, o, s) for p, s, o in links for a, b in inverse if a == p} | {("t", s, o2) for p, s, o in links for p2, s2, o2 in links if p == p2 == "t" and o == s2}
+        turned = links | {("^" + p, o, s) for p, s, o in links}
+        links |= {(k, s, o2) for k, (c1, c2) in said["prop_chain"] for p, s, o in turned for p2, s2, o2 in turned if (p, p2) == (c1, c2) and o == s2}
+        same |= {(o, o2) for p, s, o in links for p2, s2, o2 in links if p == p2 == "f" and s == s2 and o != o2} | {(a, d) for a, b in same for c, d in same if b == c and a != d}
+        types |= {(c, b) for c, i in types for a, b in same if a == i}
+        links |= {(p, b, o) for p, s, o in links for a, b in same if a == s} | {(p, s, b) for p, s, o in links for a, b in same if a == o}
+        if size == (len(types), len(links), len(same)):
+            break
+    full = M.materialise(graph(spark, **said))
+    rows = {k: [tuple(r) for r in full.table(k).select(*c).collect()] for k, c in (("class_assertion", ["cls", "ind"]), ("obj_assertion", ["p", "s", "o"]), ("individuals", ["ind"]))}
+    assert set(rows["class_assertion"]) == types and set(rows["obj_assertion"]) == links
+    assert {x for (x,) in rows["individuals"]} == {i for _, i in types} | {x for _, s, o in links for x in (s, o)} | {"v"}
+    assert all(len(set(r)) == len(r) for r in rows.values())
+
+
+def test_materialise_joins_no_table_by_property_or_class(spark):
+    """What one statement says is looked up: no shuffle or sort by the few names of properties or classes."""
+    full = M.materialise(graph(spark, obj_assertion=[("p", "a", "b")], sub_prop=[("p", "q")], domain=[("q", "D")], sub_class=[("D", "E")]))
+    for name in ("class_assertion", "obj_assertion"):
+        plan = full.table(name)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(cls" not in plan, name
+
+
 def test_justifications(spark):
     g = graph(spark, sub_class=[("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "A")], class_assertion=[("A", "x"), ("D", "y")], obj_assertion=[("p", "x", "z"), ("p", "y", "z")])
     assert M.justifications(g, "A", "D") == [(("A", "B"), ("B", "D")), (("A", "C"), ("C", "D"))]
