@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontomill.functions.text import chunked, guessed_datatype, snake_case, type_name
 from ontomill.plans import expr as E
-from ontomill.plans.ship import ship
+from ontomill.plans.ship import arrow_rows, ship
 from ontomill.sources.graphs import TripleGraph
 
 #: Texts above these lengths are cut into chunks, and summarised first.
@@ -64,15 +65,19 @@ def first_sentences(text: str, limit: int = SUMMARISE_ABOVE) -> str:
 
 def statements(docs: DataFrame, extractor: Callable[[str], list[Statement]] = simple_statements, id_col: str = "doc_id", text_col: str = "text", strategy: str = "paragraph") -> DataFrame:
     """``id, chunk_no, pos, subject, predicate, object`` of every chunk of every text."""
-    ship(docs.sparkSession)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [(i, n, k, s.subject, s.predicate, s.object) for i, n, t in zip(b["id"], b["chunk_no"], b["chunk"], strict=True) for k, s in enumerate(extractor(t))]
-            yield pd.DataFrame(found, columns=["id", "chunk_no", "pos", "subject", "predicate", "object"])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, nos, texts = batch.columns
+            for first in range(0, batch.num_rows, 500):
+                found = [(i, k, s.subject, s.predicate, s.object) for i in range(first, min(first + 500, batch.num_rows)) for k, s in enumerate(extractor(texts[i].as_py()))]
+                if found:
+                    at, pos, *said = zip(*found, strict=True)
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([ids.take(at), nos.take(at), pa.array(pos, pa.int32()), *(pa.array(x, pa.string()) for x in said)], ["id", "chunk_no", "pos", "subject", "predicate", "object"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return chunked(docs, CHUNK_SIZE, CHUNK_OVERLAP, strategy, id_col, text_col).select("id", "chunk_no", "chunk").mapInPandas(rows, f"id {kind}, chunk_no int, pos int, subject string, predicate string, object string")
+    chunks = chunked(docs, CHUNK_SIZE, CHUNK_OVERLAP, strategy, id_col, text_col).select("id", "chunk_no", "chunk")
+    return arrow_rows(chunks, rows, f"id {kind}, chunk_no int, pos int, subject string, predicate string, object string")
 
 
 def merged(rows: DataFrame, keys: list[str], order: list[str], case_sensitive: bool = False) -> DataFrame:

@@ -221,6 +221,16 @@ def test_chunks(spark, strategy):
     assert T.chunks_of("a" * 10, 3, 3, "fixed")[-1].endswith("a")
 
 
+def test_chunks_are_handed_on_in_small_batches(spark, monkeypatch):
+    """What a task gives at once is bounded by characters, whatever the batch that came in holds."""
+    from ontomill.plans import ship
+
+    sizes, docs = [], spark.createDataFrame([(i, f"Sentence {i} of some length stands here. " * 3000) for i in range(40)], "doc_id long, text string")
+    monkeypatch.setattr(ship, "arrow_rows", lambda df, rows, schema: sizes.extend(b.nbytes for b in rows(df.toArrow().to_batches())) or df.sparkSession.createDataFrame([], schema))
+    T.chunked(docs, 1000, 100, "sentence")
+    assert len(sizes) > 3 and max(sizes) < 2 << 20
+
+
 def test_mutation(spark):
     g = father(spark)
     more = mutate.add(g, [axiom("ClassAssertion", Class(n("male")), n("new")), axiom("ObjectPropertyAssertion", Prop(n("hasChild"), True), n("new"), n("anna")), axiom("EquivalentClasses", Class("x"), Class("y"), Class("z")), axiom("TransitiveObjectProperty", Prop(n("r"))), axiom("SubPropertyChainOf", (Prop("a"), Prop("b")), Prop("c")), axiom("DisjointUnion", Class("x"), Class("p"), Class("q")), axiom("SubClassOf", Class("a"), E.And((Class("b"), parse_dl("∃ r.b")))), axiom("HasKey", Class("a"), Prop("k"))])
