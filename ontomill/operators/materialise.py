@@ -122,11 +122,11 @@ class _Schema:
         tell = lambda df, mark, of, ind: df.select(F.concat(F.lit(mark), of).alias("token"), F.col(ind).alias("ind"))
         rows = reduce(DataFrame.unionAll, [tell(types, "=", "cls", "ind"), tell(said, ">", "p", "s"), tell(said, "<", "p", "o"), tell(values, ".", "p", "s")])
         n = types.count() + 2 * said.count() + values.count()
-        rows = dealt(rows.where("token is not null and ind is not null"), n, "ind").distinct()
-        if up is not None:
-            rows = stored(rows)
+        rows = rows.where("token is not null and ind is not null")
+        if up is not None:  # few are the same as others: what is said of them alone is copied, before all is dealt once
             of_root = rows.join(up, F.col("ind") == F.col("node")).select("token", "root").distinct()
-            rows = dealt(rows.unionAll(of_root.join(up, "root").select("token", "node")), n, "ind").distinct()
+            rows = rows.unionAll(of_root.join(up, "root").select("token", "node"))
+        rows = dealt(rows, n, "ind").distinct()
         met = stored(rows.groupBy("ind").agg(F.sort_array(F.collect_set("token")).alias("tokens")))
         sets = met.select("tokens").distinct()
         own = F.when(F.col("token").startswith("="), F.array(F.expr("substring(token, 2)"))).otherwise(F.array().cast("array<string>"))
@@ -159,6 +159,8 @@ def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
         fresh = None if fresh is None or len(fresh) == SMALL else fresh | {q for p in fresh for q, _ in schema.turns.get(p, ())}
         found = [*_transitive(schema, new, base, marked["TransitiveProperty"], fresh, first), *_chains(schema, chains, new, base, fresh, first)]
         heads = [*marked["TransitiveProperty"], *(p for p, _ in chains)] if isinstance(marked["TransitiveProperty"], list) else None
+        # what is known already is looked for among links of the properties that rounds give, and of the same individuals
+        known = [schema.closed(base, heads)] if found else []
         if sure:
             every, recent = schema.closed(base), schema.closed(new)
             same = stored(_union([same, *_functional(every, recent, marked["FunctionalProperty"], "s", "o"), *_functional(every, recent, marked["InverseFunctionalProperty"], "o", "s")]))
@@ -168,11 +170,12 @@ def materialise(graph: TripleGraph, max_rounds: int = 50) -> TripleGraph:
                 if now != known_same:
                     up, same = _groups(same, now)
                 found += _copied(base if now != known_same else new, up)
-                known_same, heads = same.count(), None
+                known += [schema.closed(base.join(up.select("node"), F.col(end) == F.col("node"), "left_semi")) for end in "so"]
+                known_same = same.count()
         if not found:
             break
         made = reduce(DataFrame.unionAll, found).distinct()
-        new = stored(made.join(schema.closed(base, heads), LINKS, "left_anti"))
+        new = stored(made.join(reduce(DataFrame.unionAll, known), LINKS, "left_anti"))
         if new.isEmpty():
             break
         base, first = base.unionAll(new), False
